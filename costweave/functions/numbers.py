@@ -87,8 +87,13 @@ def match_percent(score: Column, max_score: float = fv.MAX_SIMILARITY) -> Column
     return F.bround(percent, 0).cast("int")
 
 
+def fixed_text(value: Column, decimals: int) -> Column:
+    """A fixed number of decimals, rounded half to even on the exact value, without grouping."""
+    return F.regexp_replace(F.format_number(value, decimals), ",", "")
+
+
 def percent_text(share: Column, decimals: int = 1) -> Column:
-    return F.concat(F.format_number(share * 100, decimals), F.lit("%"))
+    return F.concat(fixed_text(share * 100, decimals), F.lit("%"))
 
 
 def whole_percent_text(share: Column) -> Column:
@@ -97,7 +102,7 @@ def whole_percent_text(share: Column) -> Column:
 
 
 def signed_percent_text(percent: Column) -> Column:
-    return F.format_string("%+.1f%%", percent)
+    return F.concat(F.when(percent >= 0, "+").otherwise(""), fixed_text(percent, 1), F.lit("%"))
 
 
 def money_text(amount: Column, decimals: int = 1, suffix: str = "") -> Column:

@@ -27,7 +27,9 @@ def headline_text(scored: DataFrame, id_col: str = "request_id") -> DataFrame:
         id_col,
         num.money_text(F.col("pred"), 0, " M").alias("cost_per_km"),
         F.concat(num.money_text(F.col("lo"), 0), F.lit(" – "), num.money_text(F.col("hi"), 0, " M")).alias("band"),
-        F.format_string("$%.2f B", num.total_budget_billions(F.col("pred"), F.col("length_km"))).alias("budget"),
+        F.concat(
+            F.lit("$"), num.fixed_text(num.total_budget_billions(F.col("pred"), F.col("length_km")), 2), F.lit(" B")
+        ).alias("budget"),
     )
 
 
@@ -60,7 +62,7 @@ def similar_text(similar: DataFrame, id_col: str = "request_id") -> DataFrame:
         id_col, "rank",
         F.concat(num.match_percent(F.col("score")).cast("string"), F.lit("%")).alias("match"),
         "country_name", "city", "line",
-        F.format_string("%.1f", F.col("length_km")).alias("length_text"),
+        num.fixed_text(F.col("length_km"), 1).alias("length_text"),
         num.whole_percent_text(F.col("tunnel_pct")).alias("tunnel_text"),
         num.money_text(F.col("cost_per_km_2023_musd"), 0, " M").alias("cost_text"),
         "same_place",
