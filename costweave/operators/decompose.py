@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from costweave import fixed_values as fv
 from costweave.functions import numbers as num
-from costweave.operators.lookup import attach, reuse
+from costweave.operators.lookup import attach
+from costweave.session import reuse
 from costweave.operators.quantiles import exact_quantiles
 
 SHARES = list(fv.SUBSYSTEM_SHARES)

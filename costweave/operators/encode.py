@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from costweave import fixed_values as fv
-from costweave.operators.lookup import attach, reuse
+from costweave.operators.lookup import attach
+from costweave.session import reuse
 
 
 def _keys(key: str | Sequence[str]) -> list[str]:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from costweave import fixed_values as fv
-from costweave.operators.lookup import attach, reuse
+from costweave.operators.lookup import attach
+from costweave.session import reuse
 from costweave.operators.quantiles import exact_quantiles
 
 SHUFFLE_BUCKETS = 4096

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,13 +17,11 @@ HOT_KEYS = 1_000
 SALTS = 64
 
 
-def reuse(df: DataFrame) -> DataFrame:
-    """Keep a table that several jobs read; lost blocks are recomputed from lineage."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def fits_broadcast(dim: DataFrame, rows: int | None = None) -> bool:
-    """True when dim is proven small. Counts at most one row past the bound."""
+    """True when dim is proven small. Counts at most one row past the bound.
+
+    Pass a stored table or something cheap on top of one: it is read for the count too.
+    """
     bound = min(BROADCAST_ROWS if rows is None else rows, BROADCAST_CELLS // max(1, len(dim.columns)))
     return dim.limit(bound + 1).count() <= bound
 

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from costweave.operators.lookup import attach, reuse
+from costweave.operators.lookup import attach
+from costweave.session import reuse
 
 DIRECT_ROWS = 1_000_000
 SKETCH_ACCURACY = 10_000
@@ -32,10 +33,11 @@ def exact_quantiles(
     """One row per group: `by` columns, then per entry alias -> (value column, probability).
 
     NULL values are ignored; a group without values has NULL. NULL groups are kept as a group.
+    df is read at least twice: pass a stored table or something cheap on top of one.
     """
     by = list(by)
     columns = sorted({column for column, _ in wanted.values()})
-    slim = reuse(df.select(*by, *columns))
+    slim = df.select(*by, *columns)
     rows = slim.count()
     if rows <= direct_rows:
         return slim.groupBy(*by).agg(

@@ -26,8 +26,8 @@ from pyspark.sql.window import Window
 
 from costweave import fixed_values as fv
 from costweave.functions import numbers as num
-from costweave.operators.lookup import attach, reuse
-from costweave.session import cut_lineage
+from costweave.operators.lookup import attach
+from costweave.session import reuse
 
 BLOCK_POINTS = 64
 FAN_OUT = 16
@@ -141,7 +141,7 @@ def _build_index(projects: DataFrame, project_id: str, n: int, w: SimilarityWeig
         })
     )
     boxes = [F.min("u").alias("u0"), F.max("u").alias("u1"), F.min("v").alias("v0"), F.max("v").alias("v1")]
-    blocks = cut_lineage(
+    blocks = reuse(
         laid_out.groupBy("grp", "_part", "_block").agg(
             F.collect_list(F.struct("pid", "country", "city", "length_km", "tunnel_pct")).alias("points"),
             F.count(F.lit(1)).alias("n"), *boxes,

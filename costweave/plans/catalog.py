@@ -14,7 +14,7 @@ from costweave.functions import numbers as num
 from costweave.operators import (
     boost, cleanse, decompose, drivers, encode, evaluate, features, folds, normalize, report, similar,
 )
-from costweave.operators.lookup import reuse
+from costweave.session import reuse
 from costweave.plans import scoring, training
 from costweave.sources import stand_ins as src
 from costweave.sources.state import TrainingState
@@ -38,16 +38,15 @@ def rounded(df: DataFrame, decimals: int = 6) -> DataFrame:
 
 
 def prepared(spark: SparkSession, sf: str) -> DataFrame:
-    """Training rows of the project stand-in, kept because several jobs read them."""
-    rows = reuse(src.projects(spark, sf))
-    return features.prepare_training(rows).select(
-        "project_id", "country", "city", "mode", "length_km", *[f for f in fv.FEATURES if not f.endswith(("_te", "_freq"))],
-        fv.TARGET, "log_cost",
-    )
+    """Training rows of the project stand-in, stored because several jobs read them."""
+    rows = features.prepare_training(reuse(src.projects(spark, sf)))
+    return reuse(rows.select(
+        "project_id", "country", "city", "mode", *[f for f in fv.FEATURES if not f.endswith(("_te", "_freq"))], "log_cost",
+    ))
 
 
 def folded(spark: SparkSession, sf: str) -> DataFrame:
-    return reuse(training.assign_folds(reuse(prepared(spark, sf)), "project_id"))
+    return reuse(training.assign_folds(prepared(spark, sf), "project_id"))
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,7 +58,7 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def encoders(spark: SparkSession, sf: str):
-    rows = reuse(prepared(spark, sf))
+    rows = prepared(spark, sf)
     country = encode.fit_encoder(rows, "country", m=fv.COUNTRY_SMOOTHING)
     city = encode.fit_encoder(rows, "city", m=fv.CITY_SMOOTHING)
     return country, city, encode.global_mean(rows)
@@ -212,7 +211,7 @@ def _with_gaps(spark, sf) -> DataFrame:
 
 @query
 def train_medians(spark, sf):
-    return rounded(features.train_medians(features.training_rows(_with_gaps(spark, sf), outliers=EXCLUDED_LINES)))
+    return rounded(features.train_medians(features.training_rows(reuse(_with_gaps(spark, sf)), outliers=EXCLUDED_LINES)))
 
 
 @query
@@ -241,7 +240,7 @@ def target_encode_place(spark, sf):
 
 @query
 def frequency_encode(spark, sf):
-    rows = reuse(prepared(spark, sf))
+    rows = prepared(spark, sf)
     encoder = encode.fit_encoder(rows, "country", m=fv.COUNTRY_SMOOTHING)
     encoded = encode.apply_encoder(rows, encoder, encode.global_mean(rows), "country")
     return rounded(encoded.select("project_id", "country", "country_te", "country_freq"))
@@ -273,7 +272,7 @@ def market_context_text(spark, sf):
 
 @query
 def quantile_bins(spark, sf):
-    return folds.quantile_bins(reuse(prepared(spark, sf))).select("project_id", "cost_bin")
+    return folds.quantile_bins(prepared(spark, sf)).select("project_id", "cost_bin")
 
 
 @query
@@ -398,7 +397,7 @@ def headline_text(spark, sf):
 def request_features(spark, sf):
     """All nine model inputs of every request."""
     country, city, mean = encoders(spark, sf)
-    medians = features.train_medians(features.training_rows(src.projects(spark, sf)))
+    medians = features.train_medians(features.training_rows(reuse(src.projects(spark, sf))))
     state = TrainingState(None, country, city, mean, medians, None, None)
     return rounded(scoring.request_features(src.requests(spark, sf), state).select("request_id", *fv.FEATURES))
 
@@ -438,7 +437,7 @@ LINEAR_DRIVERS = ["tunnel_pct", "station_density", "log_length", "is_regional_ra
 @query
 def driver_report_linear(spark, sf):
     """The report on simple contributions: each feature less its mean, scaled by position."""
-    rows = reuse(prepared(spark, sf))
+    rows = prepared(spark, sf)
     means = rows.agg(*[F.avg(f).alias(f"_{f}") for f in LINEAR_DRIVERS])
     parts = rows.crossJoin(F.broadcast(means)).select(
         "project_id", *[F.round((F.col(f) - F.col(f"_{f}")) * (i + 1), 9).alias(f) for i, f in enumerate(LINEAR_DRIVERS)]
@@ -452,8 +451,8 @@ FEW_TREES = 8
 
 
 def _trained(spark, sf, fit) -> TrainingState:
-    rows, country, city, mean = training.encode_all(reuse(prepared(spark, sf)))
-    medians = features.train_medians(features.training_rows(src.projects(spark, sf)))
+    rows, country, city, mean = training.encode_all(prepared(spark, sf))
+    medians = features.train_medians(features.training_rows(reuse(src.projects(spark, sf))))
     report_row = evaluate.compute_metrics(predictions(spark, sf))
     return TrainingState(fit(reuse(rows), "project_id"), country, city, mean, medians, report_row, report_row)
 
@@ -467,8 +466,8 @@ def quantile_boost_fit_score(spark, sf):
 
 @query
 def gbt_absolute_score(spark, sf):
-    rows, *_ = training.encode_all(reuse(prepared(spark, sf)))
-    rows = reuse(rows)
+    rows, *_ = training.encode_all(prepared(spark, sf))
+    rows = reuse(rows)  # the trees read it many times
     model = boost.fit_absolute_gbt(rows, trees=FEW_TREES)
     return rounded(boost.predict_gbt(rows, model).select("project_id", "log_cost", "pred_log"))
 
@@ -476,7 +475,7 @@ def gbt_absolute_score(spark, sf):
 @query
 def oof_boosting_report(spark, sf):
     fit = training.absolute_gbt(trees=FEW_TREES)
-    return rounded(training.train(reuse(prepared(spark, sf)), "project_id", fit).metrics)
+    return rounded(training.train(prepared(spark, sf), "project_id", fit).metrics)
 
 
 @query

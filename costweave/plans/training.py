@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from costweave import fixed_values as fv
 from costweave.operators import boost, encode, evaluate, features, folds
-from costweave.operators.lookup import reuse
-from costweave.session import cut_lineage
+from costweave.session import reuse
 from costweave.sources.state import TrainingState, save_state
 from costweave.sources.tables import read_clean_projects
 
@@ -62,7 +61,7 @@ def cross_validate(prepared: DataFrame, id_col: str, fit: Fit, k: int = fv.FOLDS
 
     Fold i's model sees encodings learned outside fold i, in training and in validation rows alike.
     """
-    folded = cut_lineage(assign_folds(prepared, id_col, k))
+    folded = reuse(assign_folds(prepared, id_col, k))
     encoders = fit_fold_encoders(folded, k)
     parts = []
     for i in range(k):
@@ -115,7 +114,7 @@ def load_and_prepare(spark, path: str, target: str = fv.TARGET) -> tuple[DataFra
 
 def with_row_id(df: DataFrame, id_col: str = "project_id") -> DataFrame:
     """Number the rows once and keep the numbers (ids must not change between jobs)."""
-    return cut_lineage(df.withColumn(id_col, F.monotonically_increasing_id()))
+    return reuse(df.withColumn(id_col, F.monotonically_increasing_id()))
 
 
 def run(spark, clean_path: str, out_folder: str, fit: Fit, id_col: str = "project_id") -> TrainingState:

@@ -1,8 +1,9 @@
-"""Session set-up and the folder in which cut lineage is kept."""
+"""Session set-up, and tables that are written once and read by several jobs."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,20 +24,24 @@ def build_session(app_name: str = "costweave", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; a temporary folder only on a local master."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not context.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names; a temporary one only on a local master."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="costweave-checkpoint-")
-    context.setCheckpointDir(folder)
+        named = tempfile.mkdtemp(prefix="costweave-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def reuse(df: DataFrame) -> DataFrame:
+    """Write a table that several jobs read, and read it back.
+
+    Ends the lineage: later plans are short, see real sizes and scan only the columns they need, and
+    nothing is recomputed when an executor is lost.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
