@@ -41,17 +41,15 @@ def subsystem_ratios(df: DataFrame, forced_global: Sequence[str] = tuple(fv.FORC
         F.struct(F.lit(True).alias("is_global"), F.lit(None).cast("string").alias("mode")),
         F.struct(F.lit(False).alias("is_global"), F.col("mode").cast("string").alias("mode")),
     )
-    grouped = reuse(
-        df.select(F.explode(slots).alias("_slot"), *SHARES)
+    slim = reuse(df.select("mode", *SHARES))
+    grouped = (
+        slim.select(F.explode(slots).alias("_slot"), *SHARES)
         .select("_slot.*", *SHARES)
         .filter(F.col("is_global") | F.col("mode").isNotNull())
     )
-    medians = exact_quantiles(grouped, ["is_global", "mode"], {c: (c, 0.5) for c in SHARES})
-    sizes = grouped.groupBy("is_global", "mode").agg(F.count(F.lit(1)).alias("n_projects"))
-    sizes = sizes.withColumnsRenamed({"is_global": "_g", "mode": "_m"})
-    with_n = medians.join(
-        sizes, F.col("is_global").eqNullSafe(F.col("_g")) & F.col("mode").eqNullSafe(F.col("_m")), "inner"
-    ).drop("_g", "_m")
+    with_n = exact_quantiles(
+        grouped, ["is_global", "mode"], {c: (c, 0.5) for c in SHARES}, also={"n_projects": F.count(F.lit(1))}
+    )
     own = with_n.withColumns(_normalised({c: F.col(c) for c in SHARES}))
     whole = own.filter("is_global").select(*[F.col(c).alias(f"_all_{c}") for c in SHARES])
     forced = ~F.col("is_global") & F.col("mode").isin(list(forced_global))

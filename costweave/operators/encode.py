@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from costweave import fixed_values as fv
 from costweave.operators.lookup import attach
-from costweave.session import reuse
 
 
 def _keys(key: str | Sequence[str]) -> list[str]:
@@ -41,12 +40,13 @@ def fit_encoder(
     """(key, te, freq): smoothed encoding and row count of every non-NULL key.
 
     Target sums and counts are combined before the shuffle, so a hot key costs one row per task. The
-    global mean comes from the keys' own sums and needs no second scan.
+    global mean comes from the keys' own sums and needs no second scan (the exchange is reused).
+    Store the result where it is looked up.
     """
     keys = _keys(key)
-    stats = reuse(df.groupBy(*keys).agg(
+    stats = df.groupBy(*keys).agg(
         F.sum(target).alias("_total"), F.count(target).alias("_n"), F.count(F.lit(1)).alias("freq"),
-    ))
+    )
     overall = stats.agg((F.sum("_total") / F.sum("_n")).alias("_mean"))
     te = smoothed(F.coalesce("_total", F.lit(0.0)), F.col("_n"), F.col("_mean"), m)
     # a key without any target has no mean and is encoded as unseen
@@ -133,15 +133,16 @@ def fit_fold_encoders(
 
     One aggregation over the data gives each key's sums per fold; a fold's complement is the key's
     total less the fold's own part. No loop over folds and no fold-times-rows blow-up. Keys unseen
-    outside fold i have that complement's global mean and a NULL frequency.
+    outside fold i have that complement's global mean and a NULL frequency. Store the result where it
+    is looked up.
     """
     keys = _keys(key)
     own = lambda value, i: F.when(F.col(fold) == i, value)
-    stats = reuse(df.groupBy(*keys).agg(
+    stats = df.groupBy(*keys).agg(
         F.array(*[F.coalesce(F.sum(own(F.col(target), i)), F.lit(0.0)) for i in range(folds)]).alias("_s"),
         F.array(*[F.count(own(F.col(target), i)) for i in range(folds)]).alias("_n"),
         F.array(*[F.count(own(F.lit(1), i)) for i in range(folds)]).alias("_r"),
-    ))
+    )
     fold_at = lambda name, i: F.element_at(name, i + 1)
     overall = stats.agg(
         F.array(*[F.sum(fold_at("_s", i)) for i in range(folds)]).alias("_gs"),

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from costweave import fixed_values as fv
 from costweave.functions import numbers as num
 from costweave.operators.lookup import attach
-from costweave.session import reuse
 from costweave.operators.quantiles import exact_quantiles
 
 
@@ -21,27 +20,16 @@ def with_errors(df: DataFrame, true_log: str = "log_cost", pred_log: str = "pred
     )
 
 
-def _fit_sums(true_log: str, pred_log: str) -> list:
+def _fit_sums(true_log: str, pred_log: str) -> dict[str, Column]:
     residual = F.col(true_log) - F.col(pred_log)
-    return [
-        F.count(F.lit(1)).alias("n"),
-        F.sum(residual * residual).alias("_sse"),
-        F.avg(residual * residual).alias("_mse"),
-        F.avg(F.abs(residual)).alias("mae_log"),
-        (F.var_pop(true_log) * F.count(true_log)).alias("_sst"),
-        F.avg(F.when(F.col("abs_err") < fv.SUCCESS_ERROR, 1.0).otherwise(0.0)).alias("_success"),
-    ]
-
-
-def _join_groups(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
-    """Join two results that have one row per group (NULL groups match)."""
-    if not by:
-        return left.crossJoin(right)
-    right = right.withColumnsRenamed({c: f"_r_{c}" for c in by})
-    same = F.lit(True)
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
-    return left.join(right, same, "inner").drop(*[f"_r_{c}" for c in by])
+    return {
+        "n": F.count(F.lit(1)),
+        "_sse": F.sum(residual * residual),
+        "_mse": F.avg(residual * residual),
+        "mae_log": F.avg(F.abs(residual)),
+        "_sst": F.var_pop(true_log) * F.count(true_log),
+        "_success": F.avg(F.when(F.col("abs_err") < fv.SUCCESS_ERROR, 1.0).otherwise(0.0)),
+    }
 
 
 def compute_metrics(
@@ -54,17 +42,17 @@ def compute_metrics(
 
     n, r2_log, rmse_log, mae_log, mdape, median_bias_pct, success_30, q10_multiplier, q90_multiplier.
     R2 is 1 - SSE/SST (it can be negative); bias is the median signed error; the multipliers are
-    1 + the 10th / 90th percentile of the error, guarded.
+    1 + the 10th / 90th percentile of the error, guarded. df is read twice: pass a stored table or
+    something cheap on top of one.
     """
     by = list(by)
     errors = with_errors(df.select(*by, true_log, pred_log), true_log, pred_log)
-    errors = reuse(errors.filter(F.col(true_log).isNotNull() & F.col(pred_log).isNotNull()))
-    sums = errors.groupBy(*by).agg(*_fit_sums(true_log, pred_log))
-    quantiles = exact_quantiles(errors, by, {
+    errors = errors.filter(F.col(true_log).isNotNull() & F.col(pred_log).isNotNull())
+    found = exact_quantiles(errors, by, {
         "_mdape": ("abs_err", 0.5), "_bias": ("err", 0.5), "_p10": ("err", 0.1), "_p90": ("err", 0.9),
-    })
+    }, also=_fit_sums(true_log, pred_log))
     q10, q90 = 1 + F.col("_p10"), 1 + F.col("_p90")
-    return _join_groups(sums, quantiles, by).select(
+    return found.select(
         *by, "n",
         (1 - F.try_divide(F.col("_sse"), F.col("_sst"))).alias("r2_log"),
         F.sqrt("_mse").alias("rmse_log"),
@@ -79,19 +67,20 @@ def compute_metrics(
 
 def metrics_by_fold(df: DataFrame, fold: str = "fold") -> DataFrame:
     """(fold, n, r2_log, mae_log)."""
-    errors = with_errors(df)
-    return errors.groupBy(fold).agg(*_fit_sums("log_cost", "pred_log")).select(
+    sums = [value.alias(name) for name, value in _fit_sums("log_cost", "pred_log").items()]
+    return with_errors(df).groupBy(fold).agg(*sums).select(
         fold, "n", (1 - F.try_divide(F.col("_sse"), F.col("_sst"))).alias("r2_log"), "mae_log"
     )
 
 
 def bands_by_mode(df: DataFrame, mode: str = "mode", min_rows: int = fv.MIN_MODE_ROWS) -> DataFrame:
-    """(mode, n, q10_multiplier, q90_multiplier) for modes with enough rows."""
-    errors = reuse(with_errors(df).filter(F.col(mode).isNotNull()).select(mode, "err"))
-    sizes = errors.groupBy(mode).agg(F.count("err").alias("n")).filter(F.col("n") >= min_rows)
-    quantiles = exact_quantiles(errors, [mode], {"_p10": ("err", 0.1), "_p90": ("err", 0.9)})
+    """(mode, n, q10_multiplier, q90_multiplier) for modes with enough rows. df is read twice."""
+    errors = with_errors(df).filter(F.col(mode).isNotNull()).select(mode, "err")
+    found = exact_quantiles(
+        errors, [mode], {"_p10": ("err", 0.1), "_p90": ("err", 0.9)}, also={"n": F.count("err")}
+    )
     q10, q90 = 1 + F.col("_p10"), 1 + F.col("_p90")
-    return _join_groups(sizes, quantiles, [mode]).select(
+    return found.filter(F.col("n") >= min_rows).select(
         mode, "n", num.safe_q10(q10).alias("q10_multiplier"), num.safe_q90(q10, q90).alias("q90_multiplier")
     )
 
@@ -99,24 +88,23 @@ def bands_by_mode(df: DataFrame, mode: str = "mode", min_rows: int = fv.MIN_MODE
 def country_report(df: DataFrame, min_rows: int = fv.MIN_COUNTRY_ROWS) -> DataFrame:
     """Per country: n, median true and predicted cost, R2, MdAPE and median bias; largest first.
 
-    R2 of a country whose true costs are all equal is 1 for a perfect fit and 0 otherwise.
+    R2 of a country whose true costs are all equal is 1 for a perfect fit and 0 otherwise. df is read
+    twice.
     """
-    errors = with_errors(df.filter(F.col("country").isNotNull()))
-    errors = reuse(errors.select(
+    errors = with_errors(df.filter(F.col("country").isNotNull())).select(
         "country", "log_cost", "pred_log", "abs_err", "err",
         F.exp("log_cost").alias("true_cost"), F.exp("pred_log").alias("pred_cost"),
-    ))
-    sums = errors.groupBy("country").agg(*_fit_sums("log_cost", "pred_log")).filter(F.col("n") >= min_rows)
-    medians = exact_quantiles(errors, ["country"], {
+    )
+    found = exact_quantiles(errors, ["country"], {
         "median_true": ("true_cost", 0.5), "median_pred": ("pred_cost", 0.5),
         "_mdape": ("abs_err", 0.5), "_bias": ("err", 0.5),
-    })
+    }, also=_fit_sums("log_cost", "pred_log"))
     r2 = (
         F.when(F.col("n") < 2, 0.0)
         .when(F.col("_sst") > 0, 1 - F.try_divide(F.col("_sse"), F.col("_sst")))
         .when(F.col("_sse") == 0, 1.0).otherwise(0.0)
     )
-    return _join_groups(sums, medians, ["country"]).select(
+    return found.filter(F.col("n") >= min_rows).select(
         "country", "n", "median_true", "median_pred", r2.alias("r2_log"),
         (F.col("_mdape") * 100).alias("mdape"), (F.col("_bias") * 100).alias("median_bias_pct"),
     ).orderBy(F.desc("n"), "country")

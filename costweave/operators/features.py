@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from costweave import fixed_values as fv
@@ -38,7 +38,10 @@ def training_rows(
 
 
 def train_medians(rows: DataFrame) -> DataFrame:
-    """One row (num_stations, mid_year): medians over the training rows, before any fill."""
+    """One row (num_stations, mid_year): medians over the training rows, before any fill.
+
+    rows is read twice: pass a stored table or something cheap on top of one.
+    """
     values = rows.select(
         F.col("num_stations").cast("double").alias("num_stations"),
         num.mid_year(F.col("start_year"), F.col("end_year")).alias("mid_year"),
@@ -50,19 +53,19 @@ def prepare_training(
     df: DataFrame,
     target: str = fv.TARGET,
     outliers: Sequence[str] = tuple(fv.OUTLIER_LINES),
-    medians: DataFrame | None = None,
+    medians: Row | None = None,
 ) -> DataFrame:
-    """Training table: filtered, imputed with training medians, with features and log_cost."""
+    """Training table: filtered, imputed with training medians, with features and log_cost.
+
+    The two medians go into the plan as constants. df is read for them (see train_medians) unless they
+    are given as a row of train_medians.
+    """
     rows = training_rows(df, target, outliers)
-    medians = train_medians(rows) if medians is None else medians
-    fills = medians.select(
-        F.col("num_stations").alias("_stations_fill"), F.col("mid_year").alias("_year_fill")
-    )
-    filled = rows.crossJoin(F.broadcast(fills)).withColumn(
-        "num_stations", F.coalesce(F.col("num_stations").cast("double"), F.col("_stations_fill"))
+    fills = train_medians(rows).first() if medians is None else medians
+    filled = rows.withColumn(
+        "num_stations", F.coalesce(F.col("num_stations").cast("double"), F.lit(fills["num_stations"]).cast("double"))
     )
-    featured = base_features(filled).withColumns({
-        "mid_year": F.coalesce("mid_year", "_year_fill"),
+    return base_features(filled).withColumns({
+        "mid_year": F.coalesce(num.mid_year(F.col("start_year"), F.col("end_year")), F.lit(fills["mid_year"]).cast("double")),
         "log_cost": num.safe_log(F.col(target)),
     })
-    return featured.drop("_stations_fill", "_year_fill")

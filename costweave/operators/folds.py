@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from costweave import fixed_values as fv
-from costweave.operators.lookup import attach
+from costweave.operators.lookup import BROADCAST_ROWS, attach
 from costweave.session import reuse
 from costweave.operators.quantiles import exact_quantiles
 
@@ -15,9 +15,13 @@ SHUFFLE_BUCKETS = 4096
 HEX_DIGITS = 3  # 16 ** 3 buckets
 
 
-def quantile_edges(df: DataFrame, column: str = "log_cost", bins: int = fv.COST_BINS) -> DataFrame:
-    """One row with the inner edges e1 .. e(bins-1)."""
-    return exact_quantiles(df, [], {f"e{i}": (column, i / bins) for i in range(1, bins)})
+def quantile_edges(df: DataFrame, column: str = "log_cost", bins: int = fv.COST_BINS) -> list[float]:
+    """The inner edges of equally filled bins. Repeated edges are refused. df is read twice."""
+    row = exact_quantiles(df, [], {f"e{i}": (column, i / bins) for i in range(1, bins)}).first()
+    edges = [row[f"e{i}"] for i in range(1, bins)]
+    if any(e is None for e in edges) or any(a >= b for a, b in zip(edges, edges[1:])):
+        raise ValueError(f"bin edges must be unique: {edges}")
+    return edges
 
 
 def quantile_bins(
@@ -25,24 +29,13 @@ def quantile_bins(
     column: str = "log_cost",
     bins: int = fv.COST_BINS,
     bin_name: str = "cost_bin",
-    edges: DataFrame | None = None,
+    edges: list[float] | None = None,
 ) -> DataFrame:
-    """Add the right-closed quantile bin 0 .. bins-1 of a column (NULL for NULL).
-
-    Like its usual single-machine form it refuses repeated edges: the query then fails.
-    """
+    """Add the right-closed quantile bin 0 .. bins-1 of a column (NULL for NULL)."""
     edges = quantile_edges(df, column, bins) if edges is None else edges
-    names = [f"e{i}" for i in range(1, bins)]
-    repeated = F.lit(False)
-    for low, high in zip(names, names[1:]):
-        repeated = repeated | (F.col(low) >= F.col(high))
-    checked = edges.select(
-        *[F.when(repeated, F.raise_error(F.lit("bin edges must be unique")).cast("double"))
-          .otherwise(F.col(n)).alias(f"_{n}") for n in names]
-    )
-    above = [F.when(F.col(f"_{n}") < F.col(column), 1).otherwise(0) for n in names]
+    above = [F.when(F.col(column) > e, 1).otherwise(0) for e in edges]
     which = F.when(F.col(column).isNotNull(), sum(above[1:], above[0]))
-    return df.crossJoin(F.broadcast(checked)).withColumn(bin_name, which).drop(*[f"_{n}" for n in names])
+    return df.withColumn(bin_name, which)
 
 
 def shuffle_key(id_col: Column, seed: int = fv.SEED) -> Column:
@@ -56,13 +49,15 @@ def stratified_folds(
     stratum: str = "cost_bin",
     folds: int = fv.FOLDS,
     seed: int = fv.SEED,
+    max_strata: int | None = None,
 ) -> DataFrame:
     """Add a fold 0 .. folds-1, balanced within each stratum to one row.
 
     A row's fold is its place in the shuffled order of its stratum, modulo the number of folds. A
     stratum is a fifth of the table, so it is not ranked in one task: rows are ranked inside buckets
     of the shuffled order (evenly filled, as the order is a hash), and each bucket starts where the
-    counts of the buckets before it end. Ids must be unique.
+    counts of the buckets before it end. Ids must be unique. `max_strata` is a known bound on the
+    number of strata; without one the table of bucket starts is counted before it is broadcast.
     """
     keyed = df.withColumn("_order", shuffle_key(F.col(id_col), seed)).withColumn(
         "_bucket", F.substring("_order", 1, HEX_DIGITS)
@@ -70,15 +65,19 @@ def stratified_folds(
     counts = keyed.groupBy(stratum, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.partitionBy(stratum).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     # at most SHUFFLE_BUCKETS rows per stratum
-    starts = reuse(counts.select(
+    starts = counts.select(
         F.coalesce(stratum, F.lit(-1)).alias("_stratum"), "_bucket",
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"),
-    ))
+    )
     inside = Window.partitionBy(stratum, "_bucket").orderBy("_order", id_col)
     ranked = keyed.withColumn("_place", F.row_number().over(inside) - 1).withColumn(
         "_stratum", F.coalesce(stratum, F.lit(-1))
     )
-    placed = attach(ranked, starts, ["_stratum", "_bucket"], "inner")
+    keys = ["_stratum", "_bucket"]
+    if max_strata is not None and max_strata * SHUFFLE_BUCKETS <= BROADCAST_ROWS:
+        placed = ranked.join(F.broadcast(starts), keys)
+    else:
+        placed = attach(ranked, reuse(starts), keys, "inner")
     return placed.withColumn(
         "fold", F.pmod(F.col("_start") + F.col("_place"), F.lit(folds)).cast("int")
     ).drop("_order", "_bucket", "_start", "_place", "_stratum")

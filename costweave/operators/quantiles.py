@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -27,30 +27,52 @@ def exact_quantiles(
     df: DataFrame,
     by: Sequence[str],
     wanted: Mapping[str, tuple[str, float]],
+    also: Mapping[str, Column] | None = None,
     direct_rows: int = DIRECT_ROWS,
     accuracy: int = SKETCH_ACCURACY,
 ) -> DataFrame:
     """One row per group: `by` columns, then per entry alias -> (value column, probability).
 
     NULL values are ignored; a group without values has NULL. NULL groups are kept as a group.
-    df is read at least twice: pass a stored table or something cheap on top of one.
+    `also` are further aggregates of df, taken in the same pass. df is read at least twice: pass a
+    stored table or something cheap on top of one.
     """
+    also = dict(also or {})
     by = list(by)
     columns = sorted({column for column, _ in wanted.values()})
-    slim = df.select(*by, *columns)
-    rows = slim.count()
+    probabilities = {c: sorted({p for column, p in wanted.values() if column == c}) for c in columns}
+    rows = df.count()
     if rows <= direct_rows:
-        return slim.groupBy(*by).agg(
-            *[F.percentile(column, p).alias(alias) for alias, (column, p) in wanted.items()]
+        # one value map per column, however many of its quantiles are wanted
+        found = df.groupBy(*by).agg(
+            *[F.percentile(c, F.array(*[F.lit(p) for p in probabilities[c]])).alias(f"_q_{c}") for c in columns],
+            *[value.alias(alias) for alias, value in also.items()],
         )
+        return found.select(*by, *[
+            F.element_at(f"_q_{c}", probabilities[c].index(p) + 1).alias(alias) for alias, (c, p) in wanted.items()
+        ], *also)
     # a finer sketch for larger tables keeps what is left in a bracket at a few million rows
-    return _narrowed_quantiles(slim, by, wanted, columns, max(accuracy, min(rows // 1_000_000, 1_000_000)))
+    accuracy = max(accuracy, min(rows // 1_000_000, 1_000_000))
+    quantiles = _narrowed_quantiles(df.select(*by, *columns), by, wanted, probabilities, accuracy)
+    if not also:
+        return quantiles
+    sums = df.groupBy(*by).agg(*[value.alias(alias) for alias, value in also.items()])
+    return _join_groups(quantiles, sums, by)
+
 
+def _join_groups(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """Join two results that have one row per group (NULL groups match)."""
+    right = right.withColumnsRenamed({c: f"_r_{c}" for c in by})
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    return left.join(right, same, "inner").drop(*[f"_r_{c}" for c in by])
 
-def _narrowed_quantiles(slim, by, wanted, columns, accuracy) -> DataFrame:
+
+def _narrowed_quantiles(slim, by, wanted, probabilities, accuracy) -> DataFrame:
     # a group id without NULLs, so that groups can be joined back
     group = F.to_json(F.struct(*[F.col(c) for c in by]), {"ignoreNullFields": "false"}) if by else F.lit("")
-    probabilities = {c: sorted({p for column, p in wanted.values() if column == c}) for c in columns}
+    columns = list(probabilities)
 
     values = slim.select(
         group.alias("_g"),

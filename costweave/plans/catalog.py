@@ -38,29 +38,28 @@ def rounded(df: DataFrame, decimals: int = 6) -> DataFrame:
 
 
 def prepared(spark: SparkSession, sf: str) -> DataFrame:
-    """Training rows of the project stand-in, stored because several jobs read them."""
-    rows = features.prepare_training(reuse(src.projects(spark, sf)))
-    return reuse(rows.select(
-        "project_id", "country", "city", "mode", *[f for f in fv.FEATURES if not f.endswith(("_te", "_freq"))], "log_cost",
-    ))
+    """Training rows of the project stand-in: expressions on top of the stored projects."""
+    return features.prepare_training(reuse(src.projects(spark, sf)))
 
 
 def folded(spark: SparkSession, sf: str) -> DataFrame:
-    return reuse(training.assign_folds(prepared(spark, sf), "project_id"))
+    return reuse(training.assign_folds(prepared(spark, sf), "project_id").select(
+        "project_id", "country", "city", "mode", "log_cost", "cost_bin", "fold"
+    ))
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """A deterministic predictor: the out-of-fold encoding of the city."""
     rows = folded(spark, sf)
-    encoder = encode.fit_fold_encoders(rows, "city", m=fv.CITY_SMOOTHING)
+    encoder = reuse(encode.fit_fold_encoders(rows, "city", m=fv.CITY_SMOOTHING))
     encoded = encode.apply_fold_encoder(rows, encoder, encode.fold_global_means(rows), "city", te_name="pred_log")
     return encoded.select("project_id", "country", "mode", "fold", "log_cost", "pred_log")
 
 
 def encoders(spark: SparkSession, sf: str):
     rows = prepared(spark, sf)
-    country = encode.fit_encoder(rows, "country", m=fv.COUNTRY_SMOOTHING)
-    city = encode.fit_encoder(rows, "city", m=fv.CITY_SMOOTHING)
+    country = reuse(encode.fit_encoder(rows, "country", m=fv.COUNTRY_SMOOTHING))
+    city = reuse(encode.fit_encoder(rows, "city", m=fv.CITY_SMOOTHING))
     return country, city, encode.global_mean(rows)
 
 
@@ -241,7 +240,7 @@ def target_encode_place(spark, sf):
 @query
 def frequency_encode(spark, sf):
     rows = prepared(spark, sf)
-    encoder = encode.fit_encoder(rows, "country", m=fv.COUNTRY_SMOOTHING)
+    encoder = reuse(encode.fit_encoder(rows, "country", m=fv.COUNTRY_SMOOTHING))
     encoded = encode.apply_encoder(rows, encoder, encode.global_mean(rows), "country")
     return rounded(encoded.select("project_id", "country", "country_te", "country_freq"))
 

@@ -31,7 +31,8 @@ def quantile_boost(**params) -> Fit:
 
 def assign_folds(prepared: DataFrame, id_col: str, k: int = fv.FOLDS, bins: int = fv.COST_BINS, seed: int = fv.SEED) -> DataFrame:
     """Prepared training rows with cost_bin and a fold stratified by it."""
-    return folds.stratified_folds(folds.quantile_bins(prepared, bins=bins), id_col, "cost_bin", k, seed)
+    binned = folds.quantile_bins(prepared, bins=bins)
+    return folds.stratified_folds(binned, id_col, "cost_bin", k, seed, max_strata=bins + 1)
 
 
 @dataclass
@@ -109,7 +110,7 @@ def load_and_prepare(spark, path: str, target: str = fv.TARGET) -> tuple[DataFra
     """(prepared rows, training medians) of a stored clean table; rows get an id if they have none."""
     df = read_clean_projects(spark, path)
     medians = reuse(features.train_medians(features.training_rows(df, target)))
-    return features.prepare_training(df, target, medians=medians), medians
+    return features.prepare_training(df, target, medians=medians.first()), medians
 
 
 def with_row_id(df: DataFrame, id_col: str = "project_id") -> DataFrame:
