@@ -29,11 +29,11 @@ from costweave.functions import numbers as num
 from costweave.operators.lookup import attach
 from costweave.session import reuse
 
-BLOCK_POINTS = 64
+BLOCK_POINTS = 16
 FAN_OUT = 16
 PART_POINTS = 4_000_000
-# Blocks are about 2.5 KB each; this many may be broadcast.
-BROADCAST_BLOCKS = 4_000
+# Blocks are about 1 KB each; this many may be broadcast.
+BROADCAST_BLOCKS = 10_000
 # Scores are compared at this resolution, so that the last bit of a logarithm decides nothing.
 SCORE_DECIMALS = 9
 SLACK = 1e-8
@@ -122,14 +122,18 @@ def _build_index(projects: DataFrame, project_id: str, n: int, w: SimilarityWeig
         F.col("length_km").cast("double").alias("length_km"), F.col("tunnel_pct").cast("double").alias("tunnel_pct"),
     )
     points = _with_point(slim, w).withColumn("_g", F.explode(_groups(F.col("country"), F.col("city"))))
-    points = points.select("_g.*", "pid", "country", "city", "length_km", "tunnel_pct", "u", "v")
+    # what a closer group is told apart by: the city within a country, the country within the world
+    points = points.select(
+        "_g.*", "pid", "length_km", "tunnel_pct", "u", "v",
+        F.when(F.col("_g.tier") == 1, F.col("city")).when(F.col("_g.tier") == 2, F.col("country")).alias("name"),
+    )
     # A ranked limit is applied before the shuffle too, so heaps of equal points never meet in a task.
     copies = Window.partitionBy("grp", "length_km", "tunnel_pct").orderBy("pid")
     points = points.withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") <= n).drop("_copy")
 
     rows = 3 * slim.count()
     parts = max(1, min(spark.sparkContext.defaultParallelism, math.ceil(rows / 10_000)), math.ceil(rows / PART_POINTS))
-    order = ["grp", "_curve", "u", "v", "pid"]
+    order = ["grp", "_curve", "pid"]
     laid_out = (
         points.withColumn("_curve", _curve_position(F.col("u"), F.col("v")))
         .repartitionByRange(parts, *order).sortWithinPartitions(*order)
@@ -143,7 +147,7 @@ def _build_index(projects: DataFrame, project_id: str, n: int, w: SimilarityWeig
     boxes = [F.min("u").alias("u0"), F.max("u").alias("u1"), F.min("v").alias("v0"), F.max("v").alias("v1")]
     blocks = reuse(
         laid_out.groupBy("grp", "_part", "_block").agg(
-            F.collect_list(F.struct("pid", "country", "city", "length_km", "tunnel_pct")).alias("points"),
+            F.collect_list(F.struct("pid", "name", "length_km", "tunnel_pct")).alias("points"),
             F.count(F.lit(1)).alias("n"), *boxes,
         )
     )
@@ -240,21 +244,20 @@ def similar_projects(
     ).withColumnsRenamed({"length_km": "q_length", "tunnel_pct": "q_tunnel"})
     queries = keyed.drop(id_col).distinct()
 
-    index = _build_index(projects, project_id, n, weights, block_points, fan_out)
+    # a block bounds the n-th best score only if it holds n projects
+    index = _build_index(projects, project_id, n, weights, max(block_points, 2 * n), fan_out)
     reached = reuse(_descend(queries, index, n, weights))
     candidates = attach(reached, index.blocks, ["grp", "node"], "inner", broadcast_rows=BROADCAST_BLOCKS)
     candidates = candidates.withColumn("_p", F.explode("points")).select(
         "_q", "tier", "bound", "q_country", "q_city", "q_length", "q_tunnel", "_p.*"
     )
-    same_country = F.coalesce(F.col("country") == F.col("q_country"), F.lit(False))
-    same_place = same_country & F.coalesce(F.col("city") == F.col("q_city"), F.lit(False))
-    candidates = candidates.withColumns({
-        "same_place": same_place,
-        "_tier": F.when(same_place, 0).when(same_country, 1).otherwise(2),
-        "score": similarity_score(
-            weights, same_place, same_country, F.col("length_km"), F.col("q_length"), F.col("tunnel_pct"), F.col("q_tunnel")
-        ),
-    }).filter((F.col("tier") == F.col("_tier")) & (F.col("score") >= F.col("bound") - SLACK))
+    # a project is taken from the closest group it shares with the request, and only from that one
+    asked_name = F.when(F.col("tier") == 1, F.col("q_city")).when(F.col("tier") == 2, F.col("q_country"))
+    in_closer_group = F.coalesce(F.col("name") == asked_name, F.lit(False))
+    candidates = candidates.filter(~in_closer_group).withColumn("score", similarity_score(
+        weights, F.col("tier") == 0, F.col("tier") <= 1,
+        F.col("length_km"), F.col("q_length"), F.col("tunnel_pct"), F.col("q_tunnel"),
+    )).filter(F.col("score") >= F.col("bound") - SLACK).withColumn("same_place", F.col("tier") == 0)
 
     best = Window.partitionBy("_q").orderBy(F.desc("score"), F.col("pid"))
     top = (
