@@ -60,7 +60,8 @@ def salted_attach(
     some_key_null = F.lit(False)
     for key in on:
         some_key_null = some_key_null | F.col(key).isNull()
-    row_salt = F.pmod(F.xxhash64(*fact.columns), F.lit(SALTS)).cast("int")
+    # the task number spreads exact copies of a row too, and is the same when a task is repeated
+    row_salt = F.pmod(F.xxhash64(*fact.columns, F.spark_partition_id()), F.lit(SALTS)).cast("int")
     left = fact.join(F.broadcast(hot), on, "left").withColumn(
         "_salt", F.when(F.col("_salts").isNotNull() | some_key_null, row_salt).otherwise(0)
     ).drop("_salts")

@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from costweave import fixed_values as fv
 from costweave.functions import numbers as num
-from costweave.operators.lookup import attach
+from costweave.operators.lookup import attach, fits_broadcast, salted_attach
 from costweave.session import reuse
 
 BLOCK_POINTS = 16
@@ -34,6 +34,8 @@ FAN_OUT = 16
 PART_POINTS = 4_000_000
 # Blocks are about 1 KB each; this many may be broadcast.
 BROADCAST_BLOCKS = 10_000
+# A node is a list of boxes of 48 bytes, most nodes have a few: some 10 MB in all.
+BROADCAST_NODES = 100_000
 # Scores are compared at this resolution, so that the last bit of a logarithm decides nothing.
 SCORE_DECIMALS = 9
 SLACK = 1e-8
@@ -112,7 +114,8 @@ def _curve_position(u: Column, v: Column) -> Column:
 @dataclass
 class _Index:
     blocks: DataFrame        # grp, node, points: array of at most BLOCK_POINTS projects
-    levels: list[DataFrame]  # per level from the lowest: grp, node, children: array of at most FAN_OUT nodes
+    nodes: DataFrame         # level, grp, node, children: array of at most FAN_OUT nodes one level down
+    height: int              # the level of the roots; blocks are level 0
 
 
 def _build_index(projects: DataFrame, project_id: str, n: int, w: SimilarityWeights, block_points: int, fan_out: int) -> _Index:
@@ -166,19 +169,20 @@ def _build_index(projects: DataFrame, project_id: str, n: int, w: SimilarityWeig
         in_part *= fan_out
     numbered = blocks.withColumn("node", F.col("_part") * in_part + F.col("_block")).drop("_part", "_block")
 
-    levels = []
-    below = numbered.select("grp", "node", "n", "u0", "u1", "v0", "v1")
-    for _ in range(height):
-        level = reuse(
-            below.withColumn("_parent", F.floor(F.col("node") / fan_out)).groupBy("grp", "_parent").agg(
-                F.collect_list(F.struct("node", "n", "u0", "u1", "v0", "v1")).alias("children"),
-                F.sum("n").alias("n"), F.min("u0").alias("u0"), F.max("u1").alias("u1"),
-                F.min("v0").alias("v0"), F.max("v1").alias("v1"),
-            ).withColumnRenamed("_parent", "node")
-        )
-        levels.append(level.select("grp", "node", "children"))
-        below = level.drop("children")
-    return _Index(numbered.select("grp", "node", "points"), levels)
+    # all levels in one go: a block counts for each of its ancestors, partial sums do the rest
+    box = ["n", "u0", "u1", "v0", "v1"]
+    width = F.element_at(F.array(*[F.lit(fan_out ** i).cast("bigint") for i in range(height)]), F.col("level") + 1)
+    flat = (
+        numbered.select("grp", "node", *box, F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("level"))
+        .groupBy("grp", "level", F.floor(F.col("node") / width).alias("node"))
+        .agg(F.sum("n").alias("n"), F.min("u0").alias("u0"), F.max("u1").alias("u1"), F.min("v0").alias("v0"), F.max("v1").alias("v1"))
+    ) if height else numbered.select("grp", F.lit(0).alias("level"), "node", *box)
+    nodes = reuse(
+        flat.groupBy("grp", (F.col("level") + 1).alias("level"), F.floor(F.col("node") / fan_out).alias("parent"))
+        .agg(F.collect_list(F.struct("node", *box)).alias("children"))
+        .withColumnRenamed("parent", "node")
+    )
+    return _Index(numbered.select("grp", "node", "points"), nodes, height)
 
 
 def _distance(x: Column, low: Column, high: Column) -> Column:
@@ -198,8 +202,12 @@ def _descend(queries: DataFrame, index: _Index, n: int, w: SimilarityWeights) ->
     )
     all_of_query = Window.partitionBy("_q")
     keep = frontier.columns
-    for level in reversed(index.levels):
-        children = attach(frontier, level, ["grp", "node"], "inner").withColumn("_c", F.explode("children"))
+    small = fits_broadcast(index.nodes, BROADCAST_NODES)
+    for level in range(index.height, 0, -1):
+        nodes = index.nodes.filter(F.col("level") == level).drop("level")
+        on = ["grp", "node"]
+        joined = frontier.join(F.broadcast(nodes), on) if small else salted_attach(frontier, nodes, on, "inner")
+        children = joined.withColumn("_c", F.explode("children"))
         nearest = (
             base + 1 / (1 + _distance(F.col("u"), F.col("_c.u0"), F.col("_c.u1")))
             + 1 / (1 + _distance(F.col("v"), F.col("_c.v0"), F.col("_c.v1")))

@@ -441,7 +441,7 @@ def driver_report_linear(spark, sf):
     parts = rows.crossJoin(F.broadcast(means)).select(
         "project_id", *[F.round((F.col(f) - F.col(f"_{f}")) * (i + 1), 9).alias(f) for i, f in enumerate(LINEAR_DRIVERS)]
     )
-    return rounded(drivers.driver_report(drivers.contributions_long(parts, "project_id", LINEAR_DRIVERS), "project_id"))
+    return rounded(drivers.driver_report(parts, "project_id", LINEAR_DRIVERS))
 
 
 # ---- trained models (no SQL equivalent) --------------------------------------
@@ -453,7 +453,8 @@ def _trained(spark, sf, fit) -> TrainingState:
     rows, country, city, mean = training.encode_all(prepared(spark, sf))
     medians = features.train_medians(features.training_rows(reuse(src.projects(spark, sf))))
     report_row = evaluate.compute_metrics(predictions(spark, sf))
-    return TrainingState(fit(reuse(rows), "project_id"), country, city, mean, medians, report_row, report_row)
+    rows = reuse(rows.select("project_id", *fv.FEATURES, "log_cost"))  # the trees read it many times
+    return TrainingState(fit(rows, "project_id"), country, city, mean, medians, report_row, report_row)
 
 
 @query
@@ -466,7 +467,7 @@ def quantile_boost_fit_score(spark, sf):
 @query
 def gbt_absolute_score(spark, sf):
     rows, *_ = training.encode_all(prepared(spark, sf))
-    rows = reuse(rows)  # the trees read it many times
+    rows = reuse(rows.select("project_id", *fv.FEATURES, "log_cost"))
     model = boost.fit_absolute_gbt(rows, trees=FEW_TREES)
     return rounded(boost.predict_gbt(rows, model).select("project_id", "log_cost", "pred_log"))
 

@@ -57,6 +57,11 @@ def encode_for_fold(rows: DataFrame, encoders: FoldEncoders, fold=None) -> DataF
     return encode.apply_fold_encoder(rows, encoders.city, encoders.means, "city", fold)
 
 
+def _model_input(rows: DataFrame, id_col: str) -> DataFrame:
+    """What a fit reads, stored because it reads it many times."""
+    return reuse(rows.select(id_col, *fv.FEATURES, "log_cost"))
+
+
 def cross_validate(prepared: DataFrame, id_col: str, fit: Fit, k: int = fv.FOLDS) -> DataFrame:
     """Prepared rows with cost_bin, fold, encodings and the out-of-fold prediction pred_log.
 
@@ -68,7 +73,7 @@ def cross_validate(prepared: DataFrame, id_col: str, fit: Fit, k: int = fv.FOLDS
     for i in range(k):
         train = encode_for_fold(folded.filter(F.col("fold") != i), encoders, F.lit(i))
         held_out = encode_for_fold(folded.filter(F.col("fold") == i), encoders)
-        parts.append(boost.predict(held_out, fit(reuse(train), id_col)))
+        parts.append(boost.predict(held_out, fit(_model_input(train, id_col), id_col)))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -102,7 +107,7 @@ def finalize(
 ) -> TrainingState:
     """Fit on everything and gather what scoring needs."""
     rows, country, city, mean = encode_all(prepared)
-    model = fit(reuse(rows), id_col)
+    model = fit(_model_input(rows, id_col), id_col)
     return TrainingState(model, country, city, mean, medians, report, countries)
 
 

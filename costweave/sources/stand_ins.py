@@ -57,7 +57,7 @@ def raw_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = projects(spark, sf_dir)
     digit = F.col("project_id") % 10
     whole = lambda c: F.col(c).cast("bigint").cast("string")
-    decimals = lambda c, d: F.format_string(f"%.{d}f", F.round(F.col(c) if isinstance(c, str) else c, d))
+    decimals = lambda c, d: F.round(c, d).cast(f"decimal(20,{d})").cast("string")
     stations = (
         F.when(digit == 0, F.concat(whole("num_stations"), F.lit("/"), (F.col("num_stations").cast("bigint") + 2).cast("string")))
         .when(digit == 1, F.concat(whole("num_stations"), F.lit("/x")))
