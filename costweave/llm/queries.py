@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from costweave.llm import language, packing, wavelet
+from costweave.llm import language, packing, pii, wavelet
 from costweave.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def op6_column_generation(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_pii_spans(spark, sf_dir):
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_family_svm(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents"))
