@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from costweave.llm import language, packing, pii, wavelet
+from costweave.llm import language, packing, pii, suffixes, wavelet
 from costweave.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,11 @@ def query(function):
     return function
 
 
+@query
+def op3_bucket_refinement(spark, sf_dir):
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_column_generation(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
