@@ -1,3 +1,70 @@
-STAGES=[]
-ORACLE_SQL=None
-def run(spark, sf_dir): ...
+"""A training-corpus pipeline over the documents table: five stages, each written and read again."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from costweave.llm import decontam, jaccard, language, packing, pii
+from costweave.llm.shared import free_name, table
+from costweave.session import shared_folder
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is undetermined go: NULL texts and texts without a letter.
+
+    The model learns from the documents that are not held out; with no labelled document all are kept that
+    have a letter. Rows keep their columns; repeated rows are treated alike.
+    """
+    model = language.train(docs.where(~language.held_out()))
+    if model is None:
+        letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+        return docs.where(letter)
+    found = free_name(docs, "_language")
+    marked = docs.withColumn(found, language.language_of(model, "text")["lang"])
+    return marked.where(F.col(found) != language.UNKNOWN).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, that of the smallest doc_id: five-word shingles, similarity 0.8 or more."""
+    return jaccard.keep_first(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, copied or edited, go."""
+    return decontam.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by marks of its kind; no document goes."""
+    return pii.redact(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents' ids, each with its sequence and offset."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("PII", redact_personal_data),
+    ("packing", pack_sequences),
+]
+
+#: trained models, alignment and tokens have no SQL form; tests hold run() against a brute-force version
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each stage's rows are stored in the shared folder and read by the next."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline/{uuid.uuid4().hex}"
+    for number, (_, stage) in enumerate(STAGES):
+        rows = stage(spark, docs, sf_dir)
+        rows.write.parquet(f"{folder}/{number}")
+        docs = spark.read.schema(rows.schema).parquet(f"{folder}/{number}")
+    return docs
