@@ -90,6 +90,15 @@ def mode_variability(ratios: DataFrame) -> DataFrame:
     )
 
 
+def requested_variability(requests: DataFrame, ratios: DataFrame, mode: str = "transit_mode") -> DataFrame:
+    """Requests with the variability of their mode, or of the whole table for a mode without ratios."""
+    known = reuse(mode_variability(ratios))
+    whole = known.filter("is_global").agg(F.max("variability").alias("_whole"))  # one row
+    own = known.filter("NOT is_global").select(F.col("mode").alias(mode), F.col("variability").alias("_own"))
+    joined = attach(requests, own, [mode]).crossJoin(F.broadcast(whole))
+    return joined.withColumn("variability", F.coalesce("_own", "_whole")).drop("_own", "_whole")
+
+
 def attach_ratios(predictions: DataFrame, ratios: DataFrame, mode: str = "transit_mode") -> DataFrame:
     """Add the 8 ratios of each row's mode, n_projects and fallback_used.
 

@@ -14,8 +14,12 @@ from costweave.operators.quantiles import exact_quantiles
 
 
 def with_errors(df: DataFrame, true_log: str = "log_cost", pred_log: str = "pred_log") -> DataFrame:
-    """Add err (signed relative error on the original scale) and abs_err."""
-    return df.withColumn("err", num.relative_error(F.col(true_log), F.col(pred_log))).withColumn(
+    """Add err (signed relative error on the original scale) and abs_err.
+
+    Rows without truth or prediction are left out: no report counts them.
+    """
+    known = df.filter(F.col(true_log).isNotNull() & F.col(pred_log).isNotNull())
+    return known.withColumn("err", num.relative_error(F.col(true_log), F.col(pred_log))).withColumn(
         "abs_err", F.abs("err")
     )
 
@@ -32,6 +36,13 @@ def _fit_sums(true_log: str, pred_log: str) -> dict[str, Column]:
     }
 
 
+def _r2() -> Column:
+    """1 - SSE/SST (it can be negative); for equal truths 1 for a perfect fit and 0 otherwise."""
+    return F.when(F.col("_sst") > 0, 1 - F.try_divide(F.col("_sse"), F.col("_sst"))).when(F.col("_sse") == 0, 1.0).when(
+        F.col("n") > 0, 0.0
+    )
+
+
 def compute_metrics(
     df: DataFrame,
     by: Sequence[str] = (),
@@ -41,20 +52,18 @@ def compute_metrics(
     """Metrics per group (one row without `by`).
 
     n, r2_log, rmse_log, mae_log, mdape, median_bias_pct, success_30, q10_multiplier, q90_multiplier.
-    R2 is 1 - SSE/SST (it can be negative); bias is the median signed error; the multipliers are
-    1 + the 10th / 90th percentile of the error, guarded. df is read twice: pass a stored table or
+    Bias is the median signed error; the multipliers are 1 + the 10th / 90th percentile of the error, guarded. df is read twice: pass a stored table or
     something cheap on top of one.
     """
     by = list(by)
     errors = with_errors(df.select(*by, true_log, pred_log), true_log, pred_log)
-    errors = errors.filter(F.col(true_log).isNotNull() & F.col(pred_log).isNotNull())
     found = exact_quantiles(errors, by, {
         "_mdape": ("abs_err", 0.5), "_bias": ("err", 0.5), "_p10": ("err", 0.1), "_p90": ("err", 0.9),
     }, also=_fit_sums(true_log, pred_log))
     q10, q90 = 1 + F.col("_p10"), 1 + F.col("_p90")
     return found.select(
         *by, "n",
-        (1 - F.try_divide(F.col("_sse"), F.col("_sst"))).alias("r2_log"),
+        _r2().alias("r2_log"),
         F.sqrt("_mse").alias("rmse_log"),
         "mae_log",
         (F.col("_mdape") * 100).alias("mdape"),
@@ -69,7 +78,7 @@ def metrics_by_fold(df: DataFrame, fold: str = "fold") -> DataFrame:
     """(fold, n, r2_log, mae_log)."""
     sums = [value.alias(name) for name, value in _fit_sums("log_cost", "pred_log").items()]
     return with_errors(df).groupBy(fold).agg(*sums).select(
-        fold, "n", (1 - F.try_divide(F.col("_sse"), F.col("_sst"))).alias("r2_log"), "mae_log"
+        fold, "n", _r2().alias("r2_log"), "mae_log"
     )
 
 
@@ -88,8 +97,7 @@ def bands_by_mode(df: DataFrame, mode: str = "mode", min_rows: int = fv.MIN_MODE
 def country_report(df: DataFrame, min_rows: int = fv.MIN_COUNTRY_ROWS) -> DataFrame:
     """Per country: n, median true and predicted cost, R2, MdAPE and median bias; largest first.
 
-    R2 of a country whose true costs are all equal is 1 for a perfect fit and 0 otherwise. df is read
-    twice.
+    A country of one row has R2 0. df is read twice.
     """
     errors = with_errors(df.filter(F.col("country").isNotNull())).select(
         "country", "log_cost", "pred_log", "abs_err", "err",
@@ -99,11 +107,7 @@ def country_report(df: DataFrame, min_rows: int = fv.MIN_COUNTRY_ROWS) -> DataFr
         "median_true": ("true_cost", 0.5), "median_pred": ("pred_cost", 0.5),
         "_mdape": ("abs_err", 0.5), "_bias": ("err", 0.5),
     }, also=_fit_sums("log_cost", "pred_log"))
-    r2 = (
-        F.when(F.col("n") < 2, 0.0)
-        .when(F.col("_sst") > 0, 1 - F.try_divide(F.col("_sse"), F.col("_sst")))
-        .when(F.col("_sse") == 0, 1.0).otherwise(0.0)
-    )
+    r2 = F.when(F.col("n") < 2, 0.0).otherwise(_r2())
     return found.filter(F.col("n") >= min_rows).select(
         "country", "n", "median_true", "median_pred", r2.alias("r2_log"),
         (F.col("_mdape") * 100).alias("mdape"), (F.col("_bias") * 100).alias("median_bias_pct"),
@@ -129,6 +133,8 @@ def prediction_band(df: DataFrame, bands: DataFrame | None = None, by: str | Non
             *([by] if by else []),
             F.col("q10_multiplier").alias("_q10"), F.col("q90_multiplier").alias("_q90"),
         )
+        if by is None and slim.limit(2).count() > 1:
+            raise ValueError("bands for all rows must be one row; name their key with `by`")
         joined = attach(df, slim, [by]) if by else df.join(F.broadcast(slim), F.lit(True), "left")
         q10 = F.coalesce("_q10", F.lit(fv.DEFAULT_Q10))
         q90 = F.coalesce("_q90", F.lit(fv.DEFAULT_Q90))

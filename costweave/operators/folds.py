@@ -11,8 +11,7 @@ from costweave.operators.lookup import BROADCAST_ROWS, attach
 from costweave.session import reuse
 from costweave.operators.quantiles import exact_quantiles
 
-SHUFFLE_BUCKETS = 4096
-HEX_DIGITS = 3  # 16 ** 3 buckets
+BUCKET_ROWS = 50_000  # rows of the table that a bucket of the shuffled order holds at most, about
 
 
 def quantile_edges(df: DataFrame, column: str = "log_cost", bins: int = fv.COST_BINS) -> list[float]:
@@ -55,26 +54,28 @@ def stratified_folds(
 
     A row's fold is its place in the shuffled order of its stratum, modulo the number of folds. A
     stratum is a fifth of the table, so it is not ranked in one task: rows are ranked inside buckets
-    of the shuffled order (evenly filled, as the order is a hash), and each bucket starts where the
+    of the shuffled order (evenly filled, as the order is a hash; as many as the rows ask for), and each bucket starts where the
     counts of the buckets before it end. Ids must be unique. `max_strata` is a known bound on the
     number of strata; without one the table of bucket starts is counted before it is broadcast.
     """
-    keyed = df.withColumn("_order", shuffle_key(F.col(id_col), seed)).withColumn(
-        "_bucket", F.substring("_order", 1, HEX_DIGITS)
-    )
+    rows, digits = df.count(), 1
+    while 16**digits * BUCKET_ROWS < rows:
+        digits += 1
+    keyed = df.withColumn("_order", shuffle_key(F.col(id_col), seed)).withColumn("_bucket", F.substring("_order", 1, digits))
     counts = keyed.groupBy(stratum, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.partitionBy(stratum).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # at most SHUFFLE_BUCKETS rows per stratum
+    # a NULL stratum is one of its own: keys are JSON, which keeps it apart from any value
+    key = F.to_json(F.struct(F.col(stratum).alias("s")))
     starts = counts.select(
-        F.coalesce(stratum, F.lit(-1)).alias("_stratum"), "_bucket",
+        key.alias("_stratum"), "_bucket",
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"),
     )
     inside = Window.partitionBy(stratum, "_bucket").orderBy("_order", id_col)
     ranked = keyed.withColumn("_place", F.row_number().over(inside) - 1).withColumn(
-        "_stratum", F.coalesce(stratum, F.lit(-1))
+        "_stratum", key
     )
     keys = ["_stratum", "_bucket"]
-    if max_strata is not None and max_strata * SHUFFLE_BUCKETS <= BROADCAST_ROWS:
+    if max_strata is not None and max_strata * 16**digits <= BROADCAST_ROWS:
         placed = ranked.join(F.broadcast(starts), keys)
     else:
         placed = attach(ranked, reuse(starts), keys, "inner")

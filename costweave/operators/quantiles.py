@@ -21,6 +21,7 @@ from costweave.session import reuse
 
 DIRECT_ROWS = 1_000_000
 SKETCH_ACCURACY = 10_000
+SLOTS = 1024  # parts of a bracket that are summed up before one of them is sorted
 
 
 def exact_quantiles(
@@ -52,7 +53,7 @@ def exact_quantiles(
             F.element_at(f"_q_{c}", probabilities[c].index(p) + 1).alias(alias) for alias, (c, p) in wanted.items()
         ], *also)
     # a finer sketch for larger tables keeps what is left in a bracket at a few million rows
-    accuracy = max(accuracy, min(rows // 1_000_000, 1_000_000))
+    accuracy = max(accuracy, min(rows // 1_000_000, 2**31 - 1))
     quantiles = _narrowed_quantiles(df.select(*by, *columns), by, wanted, probabilities, accuracy)
     if not also:
         return quantiles
@@ -74,12 +75,13 @@ def _narrowed_quantiles(slim, by, wanted, probabilities, accuracy) -> DataFrame:
     group = F.to_json(F.struct(*[F.col(c) for c in by]), {"ignoreNullFields": "false"}) if by else F.lit("")
     columns = list(probabilities)
 
-    values = slim.select(
+    # stored: sizes, sketches and brackets all read it, and again with each widening
+    values = reuse(slim.select(
         group.alias("_g"),
         F.explode(
             F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in columns])
         ).alias("_cell"),
-    ).select("_g", "_cell.*").filter(F.col("_v").isNotNull())
+    ).select("_g", "_cell.*").filter(F.col("_v").isNotNull()))
 
     every_p = sorted({p for ps in probabilities.values() for p in ps})
     sizes = reuse(values.groupBy("_g", "_c").agg(
@@ -124,7 +126,7 @@ def _narrowed_quantiles(slim, by, wanted, probabilities, accuracy) -> DataFrame:
         kept = reuse(
             pairs.filter(F.col("_v") <= F.col("_hi"))
             .withColumn("_v", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")))
-            .groupBy("_g", "_c", "_p", "_rank", "_v").agg(F.count(F.lit(1)).alias("_k"))
+            .groupBy("_g", "_c", "_p", "_rank", "_lo", "_hi", "_v").agg(F.count(F.lit(1)).alias("_k"))
         )
         span = kept.groupBy("_g", "_c", "_p", "_rank").agg(
             F.coalesce(F.sum(F.when(F.col("_v").isNull(), F.col("_k"))), F.lit(0)).alias("_below"),
@@ -137,11 +139,21 @@ def _narrowed_quantiles(slim, by, wanted, probabilities, accuracy) -> DataFrame:
             break
         reach *= 4
 
-    order = Window.partitionBy("_g", "_c", "_p").orderBy(F.col("_v").asc_nulls_first())
-    ranked = kept.withColumn("_end", F.sum("_k").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    holds = lambda rank: (F.col("_end") - F.col("_k") <= rank) & (rank < F.col("_end"))
+    # a bracket is summed up slot by slot; only the slots that hold a wanted rank are sorted
+    share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    slot = F.when(F.col("_v").isNull(), -1).when(F.col("_hi") > F.col("_lo"), F.least(F.floor(share * SLOTS), F.lit(SLOTS - 1))).otherwise(0)
+    kept = kept.withColumn("_slot", slot.cast("int"))
+    bracket = ["_g", "_c", "_p"]
     low, high = F.floor("_rank"), F.ceil("_rank")
-    found = ranked.filter(F.col("_v").isNotNull()).groupBy("_g", "_c", "_p").agg(
+    upto = Window.partitionBy(*bracket).orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
+    slots = kept.groupBy(*bracket, "_rank", "_slot").agg(F.sum("_k").alias("_size")).withColumn("_stop", F.sum("_size").over(upto))
+    start = F.col("_stop") - F.col("_size")
+    holding = slots.filter((F.col("_slot") >= 0) & (start <= high) & (low < F.col("_stop")))
+    holding = reuse(holding.select(*bracket, "_slot", start.alias("_start")))
+    inside = Window.partitionBy(*bracket, "_slot").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = attach(kept, holding, [*bracket, "_slot"], "inner").withColumn("_end", F.col("_start") + F.sum("_k").over(inside))
+    holds = lambda rank: (F.col("_end") - F.col("_k") <= rank) & (rank < F.col("_end"))
+    found = ranked.groupBy(*bracket).agg(
         F.max(F.when(holds(low), F.col("_v"))).alias("_x"),
         F.max(F.when(holds(high), F.col("_v"))).alias("_y"),
         F.max(F.col("_rank") - low).alias("_w"),

@@ -193,8 +193,11 @@ def _reach(x: Column, low: Column, high: Column) -> Column:
     return F.greatest(x - low, high - x)
 
 
-def _descend(queries: DataFrame, index: _Index, n: int, w: SimilarityWeights) -> DataFrame:
-    """(_q, ..., grp, node, bound): the blocks that may hold one of the n best projects of a query."""
+def _descend(queries: DataFrame, index: _Index, n: int, w: SimilarityWeights, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
+    """(_q, ..., grp, node, bound): the blocks that may hold one of the n best projects of a query.
+
+    Without broadcast each level's frontier is stored by the lookup, so the plan of a level stands on one table.
+    """
     base = F.element_at(F.array(*[F.lit(b) for b in w.by_tier]), F.col("tier") + 1)
     frontier = queries.withColumn("_g", F.explode(_groups(F.col("q_country"), F.col("q_city")))).select(
         "_q", "q_country", "q_city", "q_length", "q_tunnel", "u", "v", "_g.*",
@@ -202,7 +205,7 @@ def _descend(queries: DataFrame, index: _Index, n: int, w: SimilarityWeights) ->
     )
     all_of_query = Window.partitionBy("_q")
     keep = frontier.columns
-    small = fits_broadcast(index.nodes, BROADCAST_NODES)
+    small = fits_broadcast(index.nodes, broadcast_nodes)
     for level in range(index.height, 0, -1):
         nodes = index.nodes.filter(F.col("level") == level).drop("level")
         on = ["grp", "node"]
@@ -236,6 +239,8 @@ def similar_projects(
     weights: SimilarityWeights = SimilarityWeights(),
     block_points: int = BLOCK_POINTS,
     fan_out: int = FAN_OUT,
+    broadcast_nodes: int = BROADCAST_NODES,
+    broadcast_blocks: int = BROADCAST_BLOCKS,
 ) -> DataFrame:
     """(id, rank, project, score, match_percent, same_place) and the projects' columns, n per request.
 
@@ -250,12 +255,13 @@ def similar_projects(
     keyed = _with_point(keyed, weights).withColumn(
         "_q", F.concat(text("q_country"), text("q_city"), text("length_km"), text("tunnel_pct"))
     ).withColumnsRenamed({"length_km": "q_length", "tunnel_pct": "q_tunnel"})
+    keyed = reuse(keyed)  # asked twice: for the queries, and for their answers
     queries = keyed.drop(id_col).distinct()
 
     # a block bounds the n-th best score only if it holds n projects
     index = _build_index(projects, project_id, n, weights, max(block_points, 2 * n), fan_out)
-    reached = reuse(_descend(queries, index, n, weights))
-    candidates = attach(reached, index.blocks, ["grp", "node"], "inner", broadcast_rows=BROADCAST_BLOCKS)
+    reached = reuse(_descend(queries, index, n, weights, broadcast_nodes))
+    candidates = attach(reached, index.blocks, ["grp", "node"], "inner", broadcast_rows=broadcast_blocks)
     candidates = candidates.withColumn("_p", F.explode("points")).select(
         "_q", "tier", "bound", "q_country", "q_city", "q_length", "q_tunnel", "_p.*"
     )

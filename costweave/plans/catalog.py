@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +15,13 @@ from costweave.functions import numbers as num
 from costweave.operators import (
     boost, cleanse, decompose, drivers, encode, evaluate, features, folds, normalize, report, similar,
 )
-from costweave.session import reuse
+from costweave.operators.lookup import attach
+from costweave.operators.quantiles import exact_quantiles
+from costweave.session import reuse, shared_folder
 from costweave.plans import scoring, training
 from costweave.sources import stand_ins as src
-from costweave.sources.state import TrainingState
+from costweave.sources import tables
+from costweave.sources.state import TrainingState, load_state, save_state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -107,6 +111,26 @@ def clean_projects(spark, sf):
     return rounded(cleanse.clean_projects(raw))
 
 
+def as_csv(df: DataFrame) -> str:
+    """A raw table as CSV files with headers in the shared folder, NULL as the word N/A."""
+    folder = f"{shared_folder(df.sparkSession)}/raw/{uuid.uuid4().hex}"
+    df.write.option("header", True).option("escape", '"').option("nullValue", "N/A").csv(folder)
+    return folder
+
+
+@query
+def clean_projects_from_csv(spark, sf):
+    """Raw files as they come: text cells, missing values as words."""
+    raw = src.raw_projects(spark, sf)
+    return rounded(cleanse.clean_projects(tables.read_raw_projects(spark, as_csv(raw))))
+
+
+@query
+def quality_row_drops_from_csv(spark, sf):
+    raw = tables.read_raw_projects(spark, as_csv(src.raw_projects(spark, sf)))
+    return cleanse.row_drop_report(cleanse.rename_known_columns(raw))
+
+
 @query
 def quality_row_drops(spark, sf):
     return cleanse.row_drop_report(cleanse.rename_known_columns(src.raw_projects(spark, sf)))
@@ -306,6 +330,45 @@ def metrics_by_fold(spark, sf):
     return rounded(evaluate.metrics_by_fold(predictions(spark, sf)))
 
 
+def gapped(df: DataFrame) -> DataFrame:
+    """Some rows without a prediction."""
+    return df.withColumn("pred_log", F.when(F.col("project_id") % 10 != 3, F.col("pred_log")))
+
+
+@query
+def metrics_by_fold_with_gaps(spark, sf):
+    return rounded(evaluate.metrics_by_fold(gapped(predictions(spark, sf))))
+
+
+@query
+def country_report_with_gaps(spark, sf):
+    return rounded(evaluate.country_report(gapped(predictions(spark, sf))), 4)
+
+
+@query
+def quantiles_narrowed(spark, sf):
+    """The way of large tables, per country."""
+    errors = reuse(evaluate.with_errors(predictions(spark, sf)))
+    found = exact_quantiles(errors, ["country"], {
+        "err_10": ("err", 0.1), "err_50": ("err", 0.5), "err_90": ("err", 0.9), "cost_50": ("log_cost", 0.5),
+    }, direct_rows=0, accuracy=50)
+    return rounded(found)
+
+
+@query
+def quantiles_narrowed_overall(spark, sf):
+    errors = reuse(evaluate.with_errors(predictions(spark, sf)))
+    return rounded(exact_quantiles(errors, [], {"err_10": ("err", 0.1), "err_50": ("err", 0.5)}, direct_rows=0, accuracy=50))
+
+
+@query
+def lookup_salted(spark, sf):
+    """The way of large lookup tables: no broadcast, hot keys spread by their counts."""
+    asked = src.requests(spark, sf).select("request_id", "country")
+    countries = reuse(encode.fit_encoder(prepared(spark, sf), "country", m=fv.COUNTRY_SMOOTHING).select("country", "te"))
+    return rounded(attach(asked, countries, ["country"], broadcast_rows=0, hot_key_rows=100, task_rows=40))
+
+
 @query
 def bands_by_mode(spark, sf):
     return rounded(evaluate.bands_by_mode(predictions(spark, sf)))
@@ -338,6 +401,12 @@ def mode_variability(spark, sf):
     return rounded(decompose.mode_variability(ratios(spark, sf)))
 
 
+@query
+def requested_variability(spark, sf):
+    asked = src.requests(spark, sf).select("request_id", "transit_mode")
+    return rounded(decompose.requested_variability(asked, ratios(spark, sf)))
+
+
 @query
 def cost_breakdown(spark, sf):
     scored = scored_by_lookup(spark, sf)
@@ -403,15 +472,24 @@ def request_features(spark, sf):
 
 # ---- similar projects -------------------------------------------------------
 
-def _similar(spark, sf) -> tuple[DataFrame, DataFrame]:
+def _similar(spark, sf, **how) -> tuple[DataFrame, DataFrame]:
     candidates = reuse(src.projects(spark, sf).dropna(subset=[fv.TARGET]))
     requests = src.requests(spark, sf)
-    return similar.similar_projects(requests, candidates), candidates
+    return similar.similar_projects(requests, candidates, **how), candidates
 
 
 @query
 def similar_projects(spark, sf):
-    found, candidates = _similar(spark, sf)
+    return _similar_full(*_similar(spark, sf))
+
+
+@query
+def similar_projects_unbroadcast(spark, sf):
+    """The way of large indexes: every level and the blocks joined without broadcast."""
+    return _similar_full(*_similar(spark, sf, broadcast_nodes=0, broadcast_blocks=0))
+
+
+def _similar_full(found: DataFrame, candidates: DataFrame) -> DataFrame:
     full = similar.with_project_columns(
         found, candidates,
         ["country", "city", "line", "start_year", "end_year", "length_km", "tunnel_pct", "num_stations", fv.TARGET],
@@ -444,22 +522,82 @@ def driver_report_linear(spark, sf):
     return rounded(drivers.driver_report(parts, "project_id", LINEAR_DRIVERS))
 
 
-# ---- trained models (no SQL equivalent) --------------------------------------
+# ---- given and simple models, whose results SQL can tell ----------------------
+
+#: (tree, leaf, value, rows, path of (feature, above, up to, share of rows))
+_INF = float("inf")
+HAND_MODEL = boost.BoostedTrees(["tunnel_pct", "log_length", "is_regional_rail"], 4.5, [
+    (0, 0, 0.2, 30.0, [(0, -_INF, 0.3, 0.6), (1, -_INF, 3.0, 0.5)]),
+    (0, 1, -0.1, 30.0, [(0, -_INF, 0.3, 0.6), (1, 3.0, _INF, 0.5)]),
+    (0, 2, 0.4, 40.0, [(0, 0.3, _INF, 0.4)]),
+    (1, 0, -0.3, 70.0, [(2, -_INF, 0.5, 0.7)]),
+    (1, 1, 0.6, 30.0, [(2, 0.5, _INF, 0.3)]),
+])
+
+
+def median_learner(rows: DataFrame, id_col: str) -> boost.BoostedTrees:
+    """No trees: the median of the complete rows."""
+    known = reuse(rows.filter(boost.complete() & F.col("log_cost").isNotNull()).select("log_cost"))
+    return boost.BoostedTrees(list(fv.FEATURES), exact_quantiles(known, [], {"q": ("log_cost", 0.5)}).first()["q"], [])
+
+
+@query
+def leaf_table_score(spark, sf):
+    return rounded(boost.predict(prepared(spark, sf), HAND_MODEL).select("project_id", "pred_log"))
+
+
+@query
+def leaf_table_shapley(spark, sf):
+    return rounded(drivers.shapley_contributions(prepared(spark, sf), HAND_MODEL, "project_id"))
 
-FEW_TREES = 8
 
+@query
+def oof_median_predictions(spark, sf):
+    """Cross-validation with a learner whose model is one number."""
+    found = training.cross_validate(prepared(spark, sf), "project_id", median_learner)
+    return rounded(found.select("project_id", "fold", "log_cost", "pred_log"))
+
+
+@query
+def oof_median_report(spark, sf):
+    return rounded(training.train(prepared(spark, sf), "project_id", median_learner).by_fold)
+
+
+@query
+def quantile_boost_binary(spark, sf):
+    """Three rounds on one binary feature, all rows in each."""
+    rows = prepared(spark, sf).select("project_id", "is_regional_rail", "log_cost")
+    model = boost.fit_quantile_boost(
+        rows, "project_id", ["is_regional_rail"], trees=3, learning_rate=0.5, depth=1, subsample=1.0, min_leaf=1
+    )
+    return rounded(boost.predict(rows, model).select("project_id", "pred_log"))
+
+
+@query
+def state_round_trip(spark, sf):
+    """A state saved, loaded and used for scoring."""
+    _, country, city, mean = training.encode_all(prepared(spark, sf))
+    medians = features.train_medians(features.training_rows(reuse(src.projects(spark, sf))))
+    metrics = reuse(evaluate.compute_metrics(predictions(spark, sf)))
+    folder = f"{shared_folder(spark)}/states/{uuid.uuid4().hex}"
+    save_state(TrainingState(HAND_MODEL, country, city, mean, medians, metrics, metrics), folder, spark)
+    scored = scoring.score(src.requests(spark, sf), load_state(spark, folder))
+    return rounded(scored.select("request_id", "pred_log", "pred", "total_budget_billions"))
+
+
+# ---- trained models (no SQL equivalent) --------------------------------------
 
 def _trained(spark, sf, fit) -> TrainingState:
-    rows, country, city, mean = training.encode_all(prepared(spark, sf))
+    """Bands and reports are those of the model's own out-of-fold errors."""
+    rows = reuse(prepared(spark, sf))
     medians = features.train_medians(features.training_rows(reuse(src.projects(spark, sf))))
-    report_row = evaluate.compute_metrics(predictions(spark, sf))
-    rows = reuse(rows.select("project_id", *fv.FEATURES, "log_cost"))  # the trees read it many times
-    return TrainingState(fit(rows, "project_id"), country, city, mean, medians, report_row, report_row)
+    report = training.train(rows, "project_id", fit)
+    return training.finalize(rows, medians, "project_id", fit, report.metrics, report.countries)
 
 
 @query
 def quantile_boost_fit_score(spark, sf):
-    state = _trained(spark, sf, training.quantile_boost(trees=FEW_TREES))
+    state = _trained(spark, sf, training.quantile_boost(trees=8))
     scored = scoring.score(src.requests(spark, sf), state)
     return rounded(scored.select("request_id", "pred_log", "pred", "lo", "hi", "total_budget_billions"))
 
@@ -468,17 +606,17 @@ def quantile_boost_fit_score(spark, sf):
 def gbt_absolute_score(spark, sf):
     rows, *_ = training.encode_all(prepared(spark, sf))
     rows = reuse(rows.select("project_id", *fv.FEATURES, "log_cost"))
-    model = boost.fit_absolute_gbt(rows, trees=FEW_TREES)
+    model = boost.fit_absolute_gbt(rows, trees=8)
     return rounded(boost.predict_gbt(rows, model).select("project_id", "log_cost", "pred_log"))
 
 
 @query
 def oof_boosting_report(spark, sf):
-    fit = training.absolute_gbt(trees=FEW_TREES)
+    fit = training.absolute_gbt(trees=8)
     return rounded(training.train(prepared(spark, sf), "project_id", fit).metrics)
 
 
 @query
 def tree_shap_drivers(spark, sf):
-    state = _trained(spark, sf, training.absolute_gbt(trees=FEW_TREES))
+    state = _trained(spark, sf, training.absolute_gbt(trees=8))
     return rounded(scoring.explain(src.requests(spark, sf), state))

@@ -455,3 +455,60 @@ def _clean_subsystems() -> str:
 
 
 ORACLES["clean_subsystems"] = _clean_subsystems()
+
+ORACLES["similar_projects_unbroadcast"] = ORACLES["similar_projects"]
+
+_GAPPED = PREDICTIONS.replace("c.te AS pred_log", "CASE WHEN project_id % 10 = 3 THEN NULL ELSE c.te END AS pred_log").replace(
+    "FROM predictions)", "FROM predictions WHERE pred_log IS NOT NULL)"
+)
+for _name in ("metrics_by_fold", "country_report"):
+    ORACLES[f"{_name}_with_gaps"] = ORACLES[_name].replace(PREDICTIONS, _GAPPED)
+
+ORACLES["quantiles_narrowed"] = f"""WITH {PROJECTS} {PREPARED} {PREDICTIONS}
+    SELECT country, {r('quantile_cont(err, 0.1)', 'err_10')}, {r('quantile_cont(err, 0.5)', 'err_50')},
+           {r('quantile_cont(err, 0.9)', 'err_90')}, {r('quantile_cont(log_cost, 0.5)', 'cost_50')} FROM errors GROUP BY country"""
+ORACLES["quantiles_narrowed_overall"] = f"""WITH {PROJECTS} {PREPARED} {PREDICTIONS}
+    SELECT {r('quantile_cont(err, 0.1)', 'err_10')}, {r('quantile_cont(err, 0.5)', 'err_50')} FROM errors"""
+ORACLES["lookup_salted"] = f"""WITH {REQUESTS} {PREPARED} {ENCODERS}
+    SELECT request_id, country, {r('te', 'te')} FROM requests LEFT JOIN country_enc USING (country)"""
+
+_HAND_SCORE = """(CASE WHEN tunnel_pct IS NOT NULL AND log_length IS NOT NULL AND is_regional_rail IS NOT NULL THEN
+    4.5 + CASE WHEN tunnel_pct <= 0.3 THEN CASE WHEN log_length <= 3.0 THEN 0.2 ELSE -0.1 END ELSE 0.4 END
+    + CASE WHEN is_regional_rail <= 0.5 THEN -0.3 ELSE 0.6 END END)::DOUBLE"""
+ORACLES["leaf_table_score"] = f"WITH {PROJECTS} {PREPARED} SELECT project_id, {r(_HAND_SCORE, 'pred_log')} FROM prepared"
+_T = "(tunnel_pct <= 0.3)::INTEGER"
+_L = "(log_length <= 3.0)::INTEGER"
+_R = "(is_regional_rail <= 0.5)::INTEGER"
+ORACLES["leaf_table_shapley"] = f"""WITH {PROJECTS} {PREPARED}
+    SELECT project_id,
+           {r(f"(0.2 * ({_T} - 0.6) * ({_L} + 0.5) / 2 - 0.1 * ({_T} - 0.6) * (1 - {_L} + 0.5) / 2 + 0.4 * (1 - {_T} - 0.4))::DOUBLE", 'tunnel_pct')},
+           {r(f"(0.2 * ({_L} - 0.5) * ({_T} + 0.6) / 2 - 0.1 * (1 - {_L} - 0.5) * ({_T} + 0.6) / 2)::DOUBLE", 'log_length')},
+           {r(f"(-0.3 * ({_R} - 0.7) + 0.6 * (1 - {_R} - 0.3))::DOUBLE", 'is_regional_rail')}
+    FROM prepared WHERE tunnel_pct IS NOT NULL AND log_length IS NOT NULL AND is_regional_rail IS NOT NULL"""
+
+_BASE_COMPLETE = "tunnel_pct IS NOT NULL AND station_density IS NOT NULL AND log_length IS NOT NULL AND mid_year IS NOT NULL"
+_OOF_MEDIAN = f"""{FOLDED},
+fold_medians AS (
+  SELECT h.fold, median(log_cost) AS m FROM folded x JOIN (SELECT unnest(range({fv.FOLDS}))::INTEGER AS fold) h ON x.fold <> h.fold
+  WHERE {_BASE_COMPLETE} GROUP BY h.fold),
+oof AS (
+  SELECT project_id, f.fold, log_cost, CASE WHEN {_BASE_COMPLETE} THEN m END AS pred_log
+  FROM folded f JOIN fold_medians g ON f.fold = g.fold)"""
+ORACLES["oof_median_predictions"] = f"""WITH {PROJECTS} {PREPARED} {_OOF_MEDIAN}
+    SELECT project_id, fold, {r('log_cost', 'log_cost')}, {r('pred_log', 'pred_log')} FROM oof"""
+ORACLES["oof_median_report"] = f"""WITH {PROJECTS} {PREPARED} {_OOF_MEDIAN}
+    SELECT fold, count(*) AS n, {r(R2, 'r2_log')}, {r('avg(abs(log_cost - pred_log))', 'mae_log')}
+    FROM oof WHERE log_cost IS NOT NULL AND pred_log IS NOT NULL GROUP BY fold"""
+ORACLES["quantile_boost_binary"] = f"""WITH {PROJECTS} {PREPARED},
+start AS (SELECT median(log_cost) AS f0 FROM prepared WHERE log_cost IS NOT NULL),
+own AS (SELECT is_regional_rail AS k, median(log_cost) AS m FROM prepared WHERE log_cost IS NOT NULL GROUP BY k)
+    SELECT project_id, {r('m + (f0 - m) * 0.5 ^ 3', 'pred_log')} FROM prepared LEFT JOIN own ON k = is_regional_rail, start"""
+ORACLES["state_round_trip"] = f"""SELECT f.request_id, {r(_HAND_SCORE, 'pred_log')}, {r(f'exp({_HAND_SCORE})', 'pred')},
+           {r(f'exp({_HAND_SCORE}) * q.length_km / 1000', 'total_budget_billions')}
+    FROM ({ORACLES["request_features"]}) f JOIN (WITH {REQUESTS} SELECT request_id, length_km FROM requests) q USING (request_id)"""
+
+ORACLES["clean_projects_from_csv"] = ORACLES["clean_projects"]
+ORACLES["quality_row_drops_from_csv"] = ORACLES["quality_row_drops"]
+ORACLES["requested_variability"] = f"""WITH {REQUESTS}, known AS ({ORACLES["mode_variability"]})
+    SELECT request_id, transit_mode, coalesce(o.variability, g.variability) AS variability
+    FROM requests q LEFT JOIN known o ON NOT o.is_global AND o.mode = q.transit_mode JOIN known g ON g.is_global"""

@@ -13,6 +13,12 @@ from costweave.operators.cleanse import drop_without_target, nan_to_null_everywh
 from costweave.functions import numbers as num
 from pyspark.sql import functions as F
 
+#: cells of a raw CSV that mean a missing value (fixed values)
+MISSING_WORDS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+    "NaN", "None", "n/a", "nan", "null",
+)
+
 CLEAN_PROJECT_SCHEMA = T.StructType([
     T.StructField(
         name,
@@ -36,17 +42,39 @@ def _found(read, path: str) -> DataFrame:
         raise ValueError(f"cannot read {path}: {error}") from error
 
 
-def read_raw(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def positional_names(headers: Sequence[str | None]) -> list[str]:
+    """One name a column, by position: a repeated header gets `.1`, `.2`, ...; one without text its place."""
+    seen: dict[str, int] = {}
+    names = []
+    for place, header in enumerate(headers):
+        header = header if header else f"Unnamed: {place}"
+        nth = seen.get(header, 0)
+        seen[header] = nth + 1
+        names.append(f"{header}.{nth}" if nth else header)
+    return names
+
+
+def read_raw(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, missing_words: Sequence[str] = MISSING_WORDS
+) -> DataFrame:
     """A raw table: Parquet, or CSV with a header whose cells all stay text.
 
-    A given CSV schema is bound by position and saves the look at the header.
+    CSV columns are bound by position, so a header may repeat; cells that are one of missing_words are NULL.
+    A given CSV schema saves the look at the header.
     """
     if path.rstrip("/").endswith(".parquet"):
         return nan_to_null_everywhere(_found(lambda: spark.read.parquet(path), path))
-    reader = spark.read.option("header", True).option("multiLine", False).option("escape", '"')
-    if schema is not None:
-        reader = reader.schema(schema).option("enforceSchema", True)
-    return _found(lambda: reader.csv(path), path)
+    reader = spark.read.option("multiLine", False).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+    if schema is None:
+        head = _found(lambda: reader.option("header", False).csv(path), path).first()
+        schema = text_schema(positional_names(head) if head else [])
+    rows = _found(lambda: reader.option("header", True).schema(schema).option("enforceSchema", True).csv(path), path)
+    words = list(missing_words)
+    quoted = [F.col("`" + f.name.replace("`", "``") + "`") for f in schema]
+    return rows.select(*[
+        F.when(~c.isin(words), c).alias(f.name) if words and isinstance(f.dataType, T.StringType) else c.alias(f.name)
+        for c, f in zip(quoted, schema)
+    ])
 
 
 def read_raw_projects(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from costweave import fixed_values as fv
+from costweave.functions import headers
 from costweave.operators import cleanse, features, normalize
 from costweave.sources import tables
 
@@ -110,3 +111,14 @@ def test_sources_round_trip(spark, tmp_path, raw):
 def test_nan_becomes_null(spark):
     df = spark.createDataFrame([(float("nan"), 1), (2.0, 2)], "x double, n int")
     assert [r["x"] for r in cleanse.nan_to_null_everywhere(df).orderBy("n").collect()] == [None, 2.0]
+
+
+def test_repeated_headers_and_missing_words(spark, tmp_path):
+    path = tmp_path / "raw.csv"
+    path.write_text('Project,Mode,Year,Mode,,"Cost, total"\nA,LRT,NA,light,x,"$1,200"\nB,N/A,2001,nan,NULL,n/a\n')
+    df = tables.read_raw_subsystems(spark, str(path))
+    assert df.columns == ["Project", "Mode", "Year", "Mode.1", "Unnamed: 4", "Cost, total"]
+    assert [tuple(r) for r in df.collect()] == [("A", "LRT", None, "light", "x", "$1,200"), ("B", None, "2001", None, None, None)]
+    kept = tables.read_raw(spark, str(path), missing_words=[])
+    assert [r[1] for r in kept.collect()] == ["LRT", "N/A"]
+    assert headers.rename_to_snake(df).columns[:4] == ["project", "mode", "year", "mode_1"]

@@ -152,3 +152,33 @@ def test_bands(spark):
     preds = spark.createDataFrame([("x", 10.0), ("z", 10.0)], "mode string, pred double")
     banded = {r["mode"]: (r["lo"], r["hi"]) for r in evaluate.prediction_band(preds, evaluate.bands_by_mode(df), "mode").collect()}
     assert banded == {"x": (10.0, 10.5), "z": (6.5, 14.5)}
+
+
+def test_reports_leave_out_rows_without_prediction_and_know_constant_truth(spark):
+    rows = [("a", 0, 1.0, 1.5), ("a", 0, 2.0, 2.0), ("a", 0, 3.0, 2.5), ("a", 0, 9.0, None), ("b", 1, 2.0, 2.0), ("b", 1, 2.0, 2.0), ("c", 2, 2.0, 2.5), ("c", 2, 2.0, 2.5)]
+    df = spark.createDataFrame(rows, "country string, fold int, log_cost double, pred_log double")
+    folds_ = {r["fold"]: r for r in evaluate.metrics_by_fold(df).collect()}
+    assert folds_[0]["n"] == 3 and folds_[0]["r2_log"] == pytest.approx(1 - 0.5 / 2)
+    assert folds_[1]["r2_log"] == 1.0 and folds_[2]["r2_log"] == 0.0
+    countries = {r["country"]: r for r in evaluate.country_report(df, min_rows=1).collect()}
+    assert countries["a"]["n"] == 3 and countries["a"]["r2_log"] == pytest.approx(0.75)
+    assert (countries["b"]["r2_log"], countries["c"]["r2_log"]) == (1.0, 0.0)
+    metrics = {r["country"]: r for r in evaluate.compute_metrics(df, ["country"]).collect()}
+    assert (metrics["a"]["n"], metrics["b"]["r2_log"], metrics["c"]["r2_log"]) == (3, 1.0, 0.0)
+
+
+def test_bands_for_all_rows_must_be_one_row(spark):
+    bands = spark.createDataFrame([(0.5, 1.5), (0.6, 1.4)], "q10_multiplier double, q90_multiplier double")
+    with pytest.raises(ValueError):
+        evaluate.prediction_band(spark.createDataFrame([(1.0,)], "pred double"), bands)
+
+
+def test_folds_keep_null_strata_apart(spark):
+    df = spark.createDataFrame([(i, [None, -1, 3][i % 3]) for i in range(60)], "id long, s int")
+    got = folds.stratified_folds(df, "id", "s", folds=4).groupBy("s", "fold").count().collect()
+    assert len(got) == 12 and {r["count"] for r in got} == {5}
+
+
+def test_broadcast_bound_counts_array_elements(spark):
+    wide = spark.range(10).select("id", F.array_repeat(F.lit(1), 300_000).alias("a"))
+    assert not lookup.fits_broadcast(wide) and lookup.fits_broadcast(wide.select("id"))
