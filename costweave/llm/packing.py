@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from costweave.llm import textops
 from costweave.llm.shared import fit_in_task
-from costweave.llm.tokens import WordEncoder, vocabulary_path
+from costweave.llm.tokens import encoder_for, vocabulary_path
 from costweave.session import reuse
 
 CAPACITY = 2048
@@ -124,7 +124,7 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = WordEncoder(path), np.array([end_id], "<u4").tobytes()
+        encoder, end = encoder_for(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             _, offsets = textops.byte_column(batch.column(1))
             for first, last in textops.blocks(offsets):

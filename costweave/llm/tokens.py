@@ -3,16 +3,24 @@
 from __future__ import annotations
 
 import os
-import re
 from array import array
 from itertools import chain
 
 import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
-REMEMBERED_WORDS = 400_000
-_GAP = re.compile(r"(?<=\S) (?=\S)")
-_RUN = re.compile(r"\s\s|^\s|\s$")
+REMEMBERED_WORDS = 1_000_000  # about 200 MB
+_ENDS = ",."
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_for(path: str) -> WordEncoder:
+    """The encoder of a worker process: it serves its tasks one after the other, words seen before included."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -26,7 +34,7 @@ class WordEncoder:
 
     A byte-level BPE with the usual pattern never joins a text across a single space that stands between
     two other characters: the space opens the next piece. Texts are cut there, words seen before are
-    looked up, and the new ones go to the library together. Their ids are told apart by the bytes that
+    looked up, and the new ones go to the library together; texts with other spaces go there whole. Their ids are told apart by the bytes that
     each id stands for. Special tokens' strings are ordinary text.
     """
 
@@ -40,6 +48,7 @@ class WordEncoder:
         self._bytes_of = np.zeros(size, np.int64)
         for text, number in self._library.get_vocab(with_added_tokens=True).items():
             self._bytes_of[number] = len(text)  # the byte alphabet has a character for each byte
+        self._end_ids = {end: array("I", self._ids([end])[0]).tobytes() for end in _ENDS}
         self._after_space: dict[str, bytes] = {}
         self._first: dict[str, bytes] = {}
 
@@ -48,36 +57,59 @@ class WordEncoder:
         return [e.ids for e in encode(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        for low in range(0, len(words), 2_000):
-            part = words[low : low + 2_000]
-            ids = np.fromiter(chain.from_iterable(self._ids([" " + " ".join(part)])), np.uint32)
+        known = self._after_space
+        # a comma or full stop after a letter is a piece of its own
+        ended = [w for w in words if w[-1:] in _ENDS and w[-2:-1].isalpha()]
+        plain = {w[:-1] for w in ended}
+        plain.update(w for w in words if not (w[-1:] in _ENDS and w[-2:-1].isalpha()))
+        plain = [w for w in plain if w not in known]
+        for low in range(0, len(plain), 4_000):
+            part = plain[low : low + 4_000]
+            text = " " + " ".join(part)
+            ids = np.fromiter(chain.from_iterable(self._ids([text])), np.uint32)
             ends = np.cumsum(self._bytes_of[ids])
-            wanted = np.cumsum([len(w.encode()) + 1 for w in part])
+            raw = text.encode()
+            wanted = np.cumsum([len(w) + 1 for w in raw[1:].split(b" ")])
             cuts = np.searchsorted(ends, wanted, side="left") + 1
-            if not np.array_equal(ends[cuts - 1], wanted):  # not a vocabulary of that kind
+            if len(wanted) != len(part) or not np.array_equal(ends[cuts - 1], wanted):
                 raise ValueError("the vocabulary joins words across spaces")
             raw, last = ids.tobytes(), 0
             for word, cut in zip(part, cuts.tolist()):
-                self._after_space[word] = raw[4 * last : 4 * cut]
+                known[word] = raw[4 * last : 4 * cut]
                 last = cut
+        for word in ended:
+            known[word] = known[word[:-1]] + self._end_ids[word[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit integers."""
-        cut = [_GAP.split(t) if _RUN.search(t) else t.split(" ") for t in texts]
         if len(self._after_space) > REMEMBERED_WORDS:
             self._after_space.clear()
             self._first.clear()
         known, firsts = self._after_space, self._first
+        cut = [t.split(" ") for t in texts]
+        new, starts = self._unseen(cut)
+        # a space beside other white space is no such gap: these texts go to the library whole
+        odd = {w for w in chain(new, starts) if not w or w[0].isspace() or w[-1].isspace()}
+        whole = {}
+        if odd:
+            numbers = [k for k, words in enumerate(cut) if not odd.isdisjoint(words)]
+            whole = {k: array("I", ids).tobytes() for k, ids in zip(numbers, self._ids([texts[k] for k in numbers]))}
+            new, starts = self._unseen([words for k, words in enumerate(cut) if k not in whole])
+        if new:
+            self._learn(list(new))
+        opening = list(starts)
+        for word, ids in zip(opening, self._ids(opening)):
+            firsts[word] = array("I", ids).tobytes()
+        return [
+            whole[k] if k in whole else firsts[w[0]] + b"".join(map(known.__getitem__, w[1:])) for k, w in enumerate(cut)
+        ]
+
+    def _unseen(self, cut: list[list[str]]) -> tuple[set[str], set[str]]:
+        """Words after a space, and opening words, that are not remembered."""
         new, starts = set(), set()
         for words in cut:
             new.update(words[1:])
             starts.add(words[0])
-        new.difference_update(known)
-        starts.difference_update(firsts)
-        if new:
-            self._learn(list(new))
-        if starts:
-            opening = list(starts)
-            for word, ids in zip(opening, self._ids(opening)):
-                firsts[word] = array("I", ids).tobytes()
-        return [firsts[w[0]] + b"".join(map(known.__getitem__, w[1:])) for w in cut]
+        new.difference_update(self._after_space)
+        starts.difference_update(self._first)
+        return new, starts

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from costweave.llm import textops
-from costweave.llm.tokens import WordEncoder, vocabulary_path
+from costweave.llm.tokens import encoder_for, vocabulary_path
 from costweave.session import reuse, shared_folder
 
 MAGIC = b"WVM1"
@@ -189,7 +189,7 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, shard_id
     path = path or vocabulary_path()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, piece = WordEncoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, piece = encoder_for(path), TaskContext.get().partitionId(), 0
         doc_ids, lengths, held, size = [], [], [], 0
         end = np.array([end_id], np.uint32).tobytes()
 

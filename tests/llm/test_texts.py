@@ -65,12 +65,12 @@ def test_account_numbers_and_context(spark):
 
 
 def test_redaction(spark):
-    rows = [(1, "é mail a@b.cc, +1 (017) 555-7713", 32, 0), (2, None, None, 0), (3, "clean", 99, 0), (None, "1.2.3.4 4111111111111111", 1, 0)]
+    rows = [(1, "é mail a@b.cc, +1 (017) 555-7713", 32, 0), (2, None, None, 0), (3, "clean", 99, 0), (None, "1.2.3.4; 4111111111111111", 1, 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, _email int")
     out = pii.redact(df)
     assert out.columns == df.columns
     assert {(r["doc_id"], r["text"], r["n_chars"]) for r in out.collect()} == {
-        (1, "é mail <email>, <phone>", 23), (2, None, None), (3, "clean", 99), (None, "<ip> <card>", 11),
+        (1, "é mail <email>, <phone>", 23), (2, None, None), (3, "clean", 99), (None, "<ip>; <card>", 12),
     }
     assert pii.redact(df.limit(0)).collect() == [] and pii.detect(df.limit(0)).collect() == []
 
@@ -156,7 +156,7 @@ def test_contaminated_documents(spark, block_words, monkeypatch):
     monkeypatch.setattr(decontam.item_blocks, "__defaults__", (block_words,))
     rng = random.Random(2)
     word = lambda: f"v{rng.randrange(400)}"
-    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([30, 30, 12, 3, 1])] + [(7, None), (8, ""), (9, "?!")]
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([30, 30, 12, 3])] + [(4, "Solo"), (7, None), (8, ""), (9, "?!")]
     filler = lambda n: " ".join(f"f{rng.randrange(900)}" for _ in range(n))
     edited = items[1][1].split()
     edited[5] = edited[17] = "changed"
