@@ -86,30 +86,25 @@ class WordEncoder:
             self._after_space.clear()
             self._first.clear()
         known, firsts = self._after_space, self._first
-        cut = [t.split(" ") for t in texts]
-        new, starts = self._unseen(cut)
+        heads, rests = [], []
+        for text in texts:
+            head, space, rest = text.partition(" ")
+            heads.append(head)
+            rests.append(rest.split(" ") if space else [])
+        new, starts = set().union(*rests).difference(known), set(heads).difference(firsts)
         # a space beside other white space is no such gap: these texts go to the library whole
         odd = {w for w in chain(new, starts) if not w or w[0].isspace() or w[-1].isspace()}
         whole = {}
         if odd:
-            numbers = [k for k, words in enumerate(cut) if not odd.isdisjoint(words)]
+            numbers = [k for k, rest in enumerate(rests) if heads[k] in odd or not odd.isdisjoint(rest)]
             whole = {k: array("I", ids).tobytes() for k, ids in zip(numbers, self._ids([texts[k] for k in numbers]))}
-            new, starts = self._unseen([words for k, words in enumerate(cut) if k not in whole])
+            for k in numbers:
+                heads[k], rests[k] = "", []
+            new, starts = set().union(*rests).difference(known), set(heads).difference(firsts)
         if new:
             self._learn(list(new))
         opening = list(starts)
         for word, ids in zip(opening, self._ids(opening)):
             firsts[word] = array("I", ids).tobytes()
-        return [
-            whole[k] if k in whole else firsts[w[0]] + b"".join(map(known.__getitem__, w[1:])) for k, w in enumerate(cut)
-        ]
-
-    def _unseen(self, cut: list[list[str]]) -> tuple[set[str], set[str]]:
-        """Words after a space, and opening words, that are not remembered."""
-        new, starts = set(), set()
-        for words in cut:
-            new.update(words[1:])
-            starts.add(words[0])
-        new.difference_update(self._after_space)
-        starts.difference_update(self._first)
-        return new, starts
+        find = known.__getitem__
+        return [whole[k] if k in whole else firsts[heads[k]] + b"".join(map(find, rest)) for k, rest in enumerate(rests)]
