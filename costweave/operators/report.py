@@ -45,6 +45,24 @@ def breakdown_text(report: DataFrame, id_col: str = "request_id") -> DataFrame:
     )
 
 
+def hover_text(report: DataFrame, id_col: str = "request_id") -> DataFrame:
+    """The range of each category per km, as shown over a chart."""
+    low, high = num.money_text(F.col("lo"), 1), num.money_text(F.col("hi"), 1, " M/km")
+    return report.select(id_col, "ordinal", "category", F.concat(low, F.lit(" – "), high).alias("range_str"))
+
+
+def summary_text(requests: DataFrame, id_col: str = "request_id") -> DataFrame:
+    """What was asked for: place, length and tunnel share, stations, mode. A missing part leaves its text NULL."""
+    named = add_country_name(requests)
+    return named.select(
+        id_col,
+        F.concat("city", F.lit(", "), "country_name").alias("location"),
+        F.concat(num.fixed_text(F.col("length_km"), 1), F.lit(" km / "), num.whole_percent_text(F.col("tunnel_pct")), F.lit(" Tunnel")).alias("topology"),
+        F.concat(F.col("num_stations").cast("int").cast("string"), F.lit(" Units")).alias("stations"),
+        F.coalesce("transit_mode", F.lit("—")).alias("mode"),
+    )
+
+
 def context_text(context: DataFrame, id_col: str = "request_id") -> DataFrame:
     """Market context as display text (baselines back on the cost scale)."""
     return context.select(

@@ -438,6 +438,17 @@ def breakdown_report_text(spark, sf):
     return report.breakdown_text(decompose.breakdown_report(intervals))
 
 
+@query
+def breakdown_hover_text(spark, sf):
+    intervals = decompose.breakdown_interval(scored_by_lookup(spark, sf), ratios(spark, sf))
+    return report.hover_text(decompose.breakdown_report(intervals))
+
+
+@query
+def request_summary_text(spark, sf):
+    return report.summary_text(src.requests(spark, sf))
+
+
 # ---- scoring ----------------------------------------------------------------
 
 @query
@@ -513,13 +524,22 @@ LINEAR_DRIVERS = ["tunnel_pct", "station_density", "log_length", "is_regional_ra
 
 @query
 def driver_report_linear(spark, sf):
+    return rounded(_linear_drivers(spark, sf))
+
+
+@query
+def driver_report_text(spark, sf):
+    return drivers.driver_text(_linear_drivers(spark, sf), "project_id")
+
+
+def _linear_drivers(spark, sf) -> DataFrame:
     """The report on simple contributions: each feature less its mean, scaled by position."""
     rows = prepared(spark, sf)
     means = rows.agg(*[F.avg(f).alias(f"_{f}") for f in LINEAR_DRIVERS])
     parts = rows.crossJoin(F.broadcast(means)).select(
         "project_id", *[F.round((F.col(f) - F.col(f"_{f}")) * (i + 1), 9).alias(f) for i, f in enumerate(LINEAR_DRIVERS)]
     )
-    return rounded(drivers.driver_report(parts, "project_id", LINEAR_DRIVERS))
+    return drivers.driver_report(parts, "project_id", LINEAR_DRIVERS)
 
 
 # ---- given and simple models, whose results SQL can tell ----------------------

@@ -512,3 +512,14 @@ ORACLES["quality_row_drops_from_csv"] = ORACLES["quality_row_drops"]
 ORACLES["requested_variability"] = f"""WITH {REQUESTS}, known AS ({ORACLES["mode_variability"]})
     SELECT request_id, transit_mode, coalesce(o.variability, g.variability) AS variability
     FROM requests q LEFT JOIN known o ON NOT o.is_global AND o.mode = q.transit_mode JOIN known g ON g.is_global"""
+
+ORACLES["breakdown_hover_text"] = ORACLES["breakdown_report_text"].split("SELECT request_id, ordinal")[0] + f"""SELECT request_id, ordinal, subsystem AS category,
+    {money(REPORT_LO, 1)} || ' – ' || {money(REPORT_HI, 1, ' M/km')} AS range_str FROM split"""
+ORACLES["request_summary_text"] = f"""WITH {REQUESTS}, names AS ({NAMES})
+    SELECT request_id, city || ', ' || coalesce(country_name, country) AS location,
+           {fixed('length_km', 1)} || ' km / ' || round_even(tunnel_pct * 100, 0)::INTEGER || '% Tunnel' AS topology,
+           num_stations::INTEGER || ' Units' AS stations, coalesce(transit_mode, '—') AS mode
+    FROM requests LEFT JOIN names ON code = country"""
+ORACLES["driver_report_text"] = f"""SELECT project_id, position, factor,
+    CASE WHEN signed_percent >= 0 THEN '+' ELSE '' END || {fixed('signed_percent', 1)} || '%' AS percent_text, direction
+    FROM ({ORACLES["driver_report_linear"].replace(r('signed_percent', 'signed_percent'), 'signed_percent')})"""

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,13 +31,34 @@ def shared_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only on a local master."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
-        if not spark.sparkContext.master.startswith("local"):
+        # a local-cluster master has executors of its own, which need a folder that is named
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         named = tempfile.mkdtemp(prefix="costweave-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+_scopes: list[list[str]] = []
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared store, whatever file system it is on; a missing one is no error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def stored_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that reuse() stores inside are deleted at the end: write or collect what is wanted before it."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for folder in _scopes.pop():
+            delete_folder(spark, folder)
+
+
 def reuse(df: DataFrame) -> DataFrame:
     """Write a table that several jobs read, and read it back.
 
@@ -43,5 +67,7 @@ def reuse(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    for scope in _scopes[-1:]:
+        scope.append(folder)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)

@@ -1,7 +1,10 @@
+import os
+
 from costweave.operators.boost import BoostedTrees
 from costweave.sources.state import TrainingState
 from costweave.streaming.scoring import score_stream
 from costweave import fixed_values as fv
+from costweave.session import reuse, shared_folder, stored_tables
 
 REQUESTS = (
     "request_id long, country string, city string, length_km double, tunnel_pct double, num_stations int, "
@@ -23,3 +26,13 @@ def test_stream_scores_each_valid_request_once(spark, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted(r["request_id"] for r in rows) == [0, 1, 2, 4]
     assert {r["pred_log"] for r in rows} == {1.5} and all(r["lo"] < r["pred"] < r["hi"] for r in rows)
+
+
+def test_stored_tables_go_with_their_scope(spark):
+    folder = shared_folder(spark).removeprefix("file:")
+    kept = reuse(spark.range(3))
+    before = set(os.listdir(f"{folder}/tables"))
+    with stored_tables(spark):
+        assert reuse(spark.range(5)).count() == 5
+        assert len(os.listdir(f"{folder}/tables")) == len(before) + 1
+    assert set(os.listdir(f"{folder}/tables")) == before and kept.count() == 3
