@@ -1,10 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds join texts to benchmark items, local alignment scores the pair.
-
-Words are runs of letters and digits in lower case. Of every few n-grams in a row of an item the one in the
-fewest texts is a seed (counted over all texts), so a copy of that many words has a seed, however common the
-item is. Where seeds fall on a text, the words around them are aligned with the item (Smith-Waterman: match 2,
-mismatch and gap -1); the score is the share of the item's best possible value. Items are taken in blocks of
-bounded size, each block against all texts; texts are never shuffled or cut.
+"""Benchmark decontamination: n-gram seeds join texts to benchmark items, local alignment scores the pair.
+
+Words are runs of letters and digits in lower case. Every n-gram of an item is a seed, however common or rare it
+is, so a place where a text has three words in a row of an item is looked at (the whole item, if it is shorter).
+Around the seeds on a text the words are aligned with the item (Smith-Waterman: match 2, mismatch and gap -1), as
+far out as an alignment of the least score can reach; the score is the share of the item's best possible value.
+Copies in which no three words in a row are left (say every third word replaced: about 0.5 at best) have no seed.
+Items are taken in blocks of bounded size, each block against all texts; texts are never shuffled or cut.
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ from pyspark.sql import functions as F
 from costweave.llm import textops
 
 GRAM_WORDS = 3
-SEED_EVERY = 4  # n-grams in a row of which the rarest is a seed
 LEAST_SCORE = 0.5
 BLOCK_WORDS = 1_000_000  # item words held by a task at once
+HITS = 2_000_000  # seeds on texts held by a task at once; one text is not cut
 MATCHES = "array<struct<item_id:long,score:double,first_word:long,last_word:long>>"
 
 OTHERS = np.ones(256, dtype=bool)
@@ -76,48 +77,48 @@ class ItemBlock:
         self.item_ids = item_ids
         self.items = [words[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
-    def _grams(self):
+        self._set_seeds()
+
+    def _set_seeds(self) -> None:
+        """Every n-gram of every item with its places."""
+        seeds: dict[int, list] = {}
         for number, item in enumerate(self.items):
             n = min(GRAM_WORDS, len(item))
             if n:
-                yield number, n, textops.gram_hashes(item, n)
-
-    def all_grams(self) -> dict[int, np.ndarray]:
-        by_size: dict[int, list] = {}
-        for _, n, hashes in self._grams():
-            by_size.setdefault(n, []).append(hashes)
-        return {n: np.unique(np.concatenate(h)) for n, h in by_size.items()}
-
-    def choose_seeds(self, times: dict[tuple[int, int], int]) -> None:
-        """Keep the rarest of every SEED_EVERY n-grams in a row; times: (n, hash) to the number of texts."""
-        seeds: dict[int, list] = {}
-        for number, n, hashes in self._grams():
-            rare = np.array([times.get((n, int(h)), 0) for h in hashes])
-            width = min(SEED_EVERY, len(rare))
-            kept = {first + int(rare[first : first + width].argmin()) for first in range(len(rare) - width + 1)}
-            seeds.setdefault(n, []).extend((int(hashes[k]), number, k) for k in kept)
+                hashes = textops.gram_hashes(item, n)
+                seeds.setdefault(n, []).append((hashes, np.full(len(hashes), number), np.arange(len(hashes))))
         self.places = {}
         known = {}
         for n, found in seeds.items():
-            found.sort()
-            hashes = np.array([f[0] for f in found], np.uint64)
-            known[n], first = np.unique(hashes, return_index=True)
-            self.places[n] = (np.append(first, len(found)), np.array([f[1] for f in found]), np.array([f[2] for f in found]))
+            hashes, item, place = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(hashes, kind="stable")
+            known[n], first = np.unique(hashes[order], return_index=True)
+            self.places[n] = (np.append(first, len(hashes)), item[order], place[order])
         self.lookup = GramLookup(known)
 
     def matches(self, data: np.ndarray, offsets: np.ndarray, least_score: float) -> list[list[dict]]:
         """For every row the items found in it, best place each, by item."""
         words, row, _, _ = textops.word_hashes(data, offsets, OTHERS)
         out: list[list[dict]] = [[] for _ in range(len(offsets) - 1)]
-        hits = []
-        for n, index, at in self.lookup.find(words, row):
-            first, item, place = self.places[n]
-            counts = first[index + 1] - first[index]
-            slot = np.repeat(first[index], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            at = np.repeat(at, counts)
-            hits.append((row[at], item[slot], at - place[slot]))
-        if not hits:
-            return out
+        edges = np.searchsorted(row, np.arange(len(offsets)))
+        found = [(n, index, at, np.diff(self.places[n][0])[index]) for n, index, at in self.lookup.find(words, row)]
+        load = sum(np.bincount(row[at], counts, len(out)) for _, _, at, counts in found) if found else np.zeros(len(out))
+        for first, last in textops.blocks(np.concatenate([[0], np.cumsum(load)]), HITS):
+            hits = []
+            for n, index, at, counts in found:
+                a, b = np.searchsorted(at, edges[[first, last]])
+                starts, item, place = self.places[n]
+                counts = counts[a:b]
+                slot = np.repeat(starts[index[a:b]], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                where = np.repeat(at[a:b], counts)
+                hits.append((row[where], item[slot], where - place[slot]))
+            self._score(words, edges, hits, least_score, out)
+        return out
+
+    def _score(self, words: np.ndarray, edges: np.ndarray, hits: list[tuple], least_score: float, out: list[list[dict]]) -> None:
+        """Align the items around their hits (row, item, first word if nothing is left out) and add what is found to out."""
+        if not sum(len(h[0]) for h in hits):
+            return
         rows, items, starts = (np.concatenate(x) for x in zip(*hits))
         order = np.lexsort((starts, items, rows))
         rows, items, starts = rows[order], items[order], starts[order]
@@ -125,12 +126,11 @@ class ItemBlock:
         new = np.ones(len(rows), bool)
         new[1:] = (rows[1:] != rows[:-1]) | (items[1:] != items[:-1]) | (starts[1:] - starts[:-1] > length[1:] // 2 + 4)
         cuts = np.append(np.flatnonzero(new), len(rows))
-        edges = np.searchsorted(row, np.arange(len(offsets)))
         best: dict[tuple[int, int], tuple] = {}
         for a, b in zip(cuts[:-1], cuts[1:]):
             r, number = int(rows[a]), int(items[a])
             item = self.items[number]
-            slack = len(item) // 4 + 2
+            slack = int(2 * len(item) * (1 - least_score)) + 1  # more gaps cost too much
             low = max(int(starts[a]) - slack, int(edges[r]))
             high = min(int(starts[b - 1]) + len(item) + slack, int(edges[r + 1]))
             near = words[low:high]
@@ -144,35 +144,10 @@ class ItemBlock:
                 best[r, number] = (score, low + end - back - int(edges[r]), low + end - 1 - int(edges[r]))
         for (r, number), (score, first_word, last_word) in sorted(best.items()):
             out[r].append({"item_id": self.item_ids[number], "score": score, "first_word": first_word, "last_word": last_word})
-        return out
 
 
-def _gram_times(docs: DataFrame, grams: dict[int, np.ndarray]) -> dict[tuple[int, int], int]:
-    """In how many texts each gram is."""
-    lookup = GramLookup(grams)
-
-    def count(batches):
-        total = {n: np.zeros(len(g), np.int64) for n, g in lookup.grams.items()}
-        for batch in batches:
-            data, offsets = textops.byte_column(pc.utf8_lower(batch.column(0)))
-            for first, last in textops.blocks(offsets):
-                part = offsets[first : last + 1]
-                words, row, _, _ = textops.word_hashes(data[part[0] : part[-1]], part - part[0], OTHERS)
-                for n, index, at in lookup.find(words, row):
-                    once = np.unique(row[at] * len(total[n]) + index)
-                    total[n] += np.bincount(once % len(total[n]), minlength=len(total[n]))
-        for n, times in total.items():
-            some = np.flatnonzero(times)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(len(some), n, np.int64)), pa.array(some), pa.array(times[some]),
-            ], names=["n", "gram", "times"])
-
-    rows = docs.select("text").mapInArrow(count, "n long, gram long, times long").groupBy("n", "gram").agg(F.sum("times").alias("times"))
-    return {(r["n"], int(lookup.grams[r["n"]][r["gram"]])): r["times"] for r in rows.collect()}  # at most the grams of a block
-
-
-def item_blocks(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> list[ItemBlock]:
-    """The items (item_id, text) in blocks of about block_words words, with seeds chosen by all of docs."""
+def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> list[ItemBlock]:
+    """The items (item_id, text) in blocks of about block_words words."""
     items = benchmark.select("item_id", "text").where("text is not null")
     total = items.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first()["n"] or 0
     blocks = []
@@ -182,7 +157,6 @@ def item_blocks(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_
         rows.sort(key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"]))
         block = ItemBlock([r["item_id"] for r in rows], [r["text"] for r in rows])
         if any(len(i) for i in block.items):
-            block.choose_seeds(_gram_times(docs, block.all_grams()))
             blocks.append(block)
     return blocks
 
@@ -209,12 +183,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_score: float = LEA
     """doc_id, item_id, score, first_word, last_word for every text and item with an alignment of least_score or more.
 
     One row a pair, the best place (the first of equals); repeated documents or items each have their rows.
+    Alignments without three words of the item in a row (or all of a shorter item) are not looked for.
     NULL or empty texts and items match nothing. Columns beyond ids and texts are not read.
     """
-    blocks = item_blocks(docs, benchmark)
+    blocks = item_blocks(benchmark)
     return docs.select("doc_id", F.explode(matches_of(blocks, "text", least_score)).alias("m")).select("doc_id", "m.*")
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
     """docs without the rows whose text matches an item."""
-    return docs.where(F.size(matches_of(item_blocks(docs, benchmark), "text", least_score)) == 0)
+    return docs.where(F.size(matches_of(item_blocks(benchmark), "text", least_score)) == 0)

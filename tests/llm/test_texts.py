@@ -6,9 +6,10 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from costweave.llm import chat, decontam, language, pii, toxicity
+from costweave.llm import chat, decontam, language, pii, textops, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -177,6 +178,36 @@ def test_contaminated_documents(spark, block_words, monkeypatch):
     assert decontam.remove_contaminated(df, bench.limit(0)).count() == len(texts)
 
 
+@pytest.mark.parametrize("verbatim", [False, True])
+def test_edited_copies_are_found_like_by_full_alignment(spark, verbatim, monkeypatch):
+    rng = random.Random(6)
+    items = [(k, " ".join(f"v{rng.randrange(500)}" for _ in range(40))) for k in range(6)]
+    filler = lambda n: [f"f{rng.randrange(200)}" for _ in range(n)]
+    texts = [" ".join(filler(60))] + [text for _, text in items if verbatim]
+    for _, text in items:
+        for every in (4, 5, 6):
+            for first in range(every):
+                copy = text.split()
+                copy[first::every] = filler(len(copy[first::every]))
+                texts.append(" ".join(filler(rng.randint(0, 30)) + copy + filler(rng.randint(0, 30))))
+        words = text.split()
+        texts.append(" ".join(filler(7) + words[:20] + filler(30) + words[20:] + filler(9)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    wanted = {}
+    for d, text in enumerate(texts):
+        for i, item in items:
+            item, words = item.split(), text.split()
+            if len(set(item) & set(words)) >= 20:  # fewer cannot reach half
+                wanted[d, i] = brute_alignment(item, words) / (2 * len(item))
+    assert found == {pair: score for pair, score in wanted.items() if score >= 0.5} and len(found) >= 6 * 16
+    data, offsets = textops.byte_column(pa.array(texts))
+    block = decontam.ItemBlock(*zip(*items))
+    whole = block.matches(data, offsets, 0.5)
+    monkeypatch.setattr(decontam, "HITS", 50)
+    assert block.matches(data, offsets, 0.5) == whole and sum(map(len, whole)) == len(found)
+
+
 def brute_states(model, values):
     best, back = model.start + values[0], []
     for value in values[1:]:
