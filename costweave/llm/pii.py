@@ -4,7 +4,7 @@ Regular expressions propose spans, checks confirm them (Luhn for cards, modulo 9
 and digit counts for the rest), and words near a span move its score. Offsets are code points, end exclusive.
 
 A kind's matches are leftmost and do not overlap; one that fails its check is dropped and not tried again in
-parts. The patterns never re-scan a run of characters: look-behinds let a match start only where a run starts
+parts; an account number ends where its country's numbers do. The patterns never re-scan a run of characters: look-behinds let a match start only where a run starts
 (or where the last match ended), and possessive repeats do not go back.
 """
 
@@ -19,7 +19,26 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+#: characters of an account number by country (fixed values, ISO 13616 registry)
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV",
+    22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ DZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BF BI BJ CF CG CI CM CV DJ FR GA GR IR IT KM MC MG ML MR NE SM SN TD TG", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _of_length(length: int, countries: str) -> str:
+    groups, rest = divmod(length - 4, 4)
+    last = rf"\x20?[A-Z0-9]{{{rest}}}" if rest else ""
+    return rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{groups}}}{last}(?![A-Za-z0-9])"
+
+
+# the length of the country's numbers first; other lengths and countries as far as the characters go
+IBAN = (
+    r"(?<![A-Za-z0-9])(?:" + "|".join(_of_length(n, c) for n, c in IBAN_LENGTHS.items())
+    + r"|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
+)
 
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "iban"]

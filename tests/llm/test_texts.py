@@ -65,6 +65,20 @@ def test_account_numbers_and_context(spark):
     assert float(scores[2]) < float(scores[0]) < float(scores[1])
 
 
+def test_account_numbers_end_where_their_country_says(spark):
+    numbers = [
+        "BE71 0961 2345 6769", "ES9121000418450200051332", "AT61 1904 3002 3457 3201", "SE45 5000 0000 0583 9825 7466",
+        "PL61 1090 1014 0000 0712 1981 2874", "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S",
+    ]
+    rows = [f"{n} {after}" for n in numbers for after in ("EUR 100", "BIC X", "2024 A", "DE89 3704 0044 0532 0130 00", "ok")]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for r in pii.detect(df).collect():
+        number = numbers[r["doc_id"] // 5]
+        spans = [f"iban:0:{len(number)}"] + [f"iban:{len(number) + 1}:{len(number) + 28}"] * ("DE89" in rows[r["doc_id"]])
+        assert [s for s in r["spans"].split(",") if s.startswith("iban")] == spans, rows[r["doc_id"]]
+    assert all(r["text"].startswith("<iban> ") for r in pii.redact(df).collect())
+
+
 def test_redaction(spark):
     rows = [(1, "é mail a@b.cc, +1 (017) 555-7713", 32, 0), (2, None, None, 0), (3, "clean", 99, 0), (None, "1.2.3.4; 4111111111111111", 1, 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, _email int")
