@@ -3,7 +3,8 @@
 A link needs `numerator * union <= denominator * overlap`, so a document of n grams misses at most
 n - ceil(n * numerator / denominator) of them in any partner. Everything below follows from that bound:
 
-1. Documents with equal gram sets are one class; only one document of a class goes on.
+1. Documents with equal gram sets are one class; only one document of a class goes on. Classes are linked, by the
+   hash of their set; documents with several texts tie theirs together, and components are named by doc_id last.
 2. Of the first grams of each document in a global order (as many as it may miss, and a twentieth more), a
    document with a partner shares more than a twentieth of the partner's size. Classes that share fewer of
    theirs with any other class are out. Tasks combine what they see before the shuffle.
@@ -117,14 +118,20 @@ def _first_grams(n: int, numerator: int, denominator: int):
 
 
 def _whole_sets(n: int):
+    """Tasks: rows (mark, text) to (id, n, grams) of the texts whose grams have that mark."""
+
     def run(batches):
         for batch in batches:
             data, offsets = textops.byte_column(batch.column(1))
-            sets = [g.view(np.int64) for g in gram_sets(data, offsets, n)]
+            marks, sets = [], []
+            for mark, own in zip(batch.column(0).to_pylist(), gram_sets(data, offsets, n)):
+                if _marks(own)[0] == mark:  # else another text of the same doc_id
+                    marks.append(mark)
+                    sets.append(own.view(np.int64))
             flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
             ends = np.concatenate([[0], np.cumsum([len(g) for g in sets])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                pa.array(marks, pa.int64()), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
             ], names=["id", "n", "grams"])
 
     return run
@@ -285,12 +292,20 @@ def join_similar(docs: DataFrame, n: int = GRAM_WORDS, similarity: tuple[int, in
         "times < 0 or (times = 1 and beside and not seen)"
     ).groupBy("mark").agg(F.sum(F.abs("times")).alias("shares"))
     least = F.floor(F.ceil(F.col("n_shingles") * numerator / F.lit(denominator)) / EXTRA) + 1
-    heads = classes.join(shares, "mark").where(F.col("shares") >= least).select(F.col("head").alias("doc_id")).distinct()
-    whole = known.join(heads, "doc_id").mapInArrow(_whole_sets(n), "id long, n long, grams array<long>")
-    found = components(class_links(whole, numerator, denominator))
-    found = found.withColumnsRenamed({"id": "head"})
-    named = classes.join(found, "head", "left").withColumn("component", F.coalesce("component", "head"))
-    own = sets.join(named.select(*key, "component"), key, "left")
+    heads = classes.join(shares, "mark").where(F.col("shares") >= least).select(F.col("head").alias("doc_id"), "mark").distinct()
+    whole = known.join(heads, "doc_id").select("mark", "text").mapInArrow(_whole_sets(n), "id long, n long, grams array<long>")
+    # the classes of a document with several texts hang together
+    own = sets.where("doc_id is not null and n_shingles > 0")
+    several = own.groupBy("doc_id").agg(F.min("mark").alias("b"), F.max("mark").alias("most")).where("b <> most").drop("most")
+    ties = own.join(several, "doc_id").select(F.col("mark").alias("a"), "b")
+    found = components(class_links(whole, numerator, denominator).unionByName(ties)).withColumnRenamed("id", "mark")
+    found = classes.join(found, "mark", "left").withColumn("component", F.coalesce("component", "mark"))
+    least_head = reuse(found.groupBy("component").agg(F.min("head").alias("least")))
+    named = found.join(least_head, "component").select(*key, F.col("least").alias("component"))
+    own = sets.where("n_shingles > 0").join(named, key, "left").select("doc_id", "n_shingles", "component")
+    blank = sets.where("n_shingles = 0").select("doc_id", "n_shingles")
+    beside = own.join(blank.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component").alias("component"))
+    own = own.unionByName(blank.join(beside, "doc_id", "left"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return own.select("doc_id", "n_shingles", component.alias("component_id"))
 

@@ -148,6 +148,21 @@ def test_join_of_empty_table_nulls_and_kept_rows(spark):
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 2, 2, 9]
 
 
+def test_join_of_several_texts_of_a_doc_id(spark):
+    words = lambda k, n: " ".join(f"{k}w{i}" for i in range(n))
+    groups = []  # doc 7 has a short and a long text (and none); 8 is a near copy of the long one, 5 of the short one
+    for k in range(20):
+        long, short, at = words(f"l{k}", 503), words(f"s{k}", 43), 100 * k
+        rows = [(at + 7, short), (at + 7, long), (at + 7, ""), (at + 8, long + " more"), (at + 5, short + " more"), (at + 9, words(f"o{k}", 60))]
+        groups += rows if k % 2 else rows[::-1]
+    df = spark.createDataFrame(groups, "doc_id long, text string")
+    found = {}
+    for r in jaccard.join_similar(df.repartition(3), 4, (85, 100)).collect():
+        found.setdefault(r["doc_id"], set()).add(r["component_id"])
+    assert found == {100 * k + d: {100 * k + (9 if d == 9 else 5)} for k in range(20) for d in (5, 7, 8, 9)}
+    assert {r["doc_id"] for r in jaccard.keep_first(df, 4, (85, 100)).collect()} == {100 * k + d for k in range(20) for d in (5, 9)}
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (9, 3), (5, 6), (7, 7), (6, 5), (20, 19), (19, 18), (18, 17), (17, 16)]
     found = shared.components(spark.createDataFrame(links, "a long, b long"))
