@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from costweave.llm import chat, decontam, jaccard, language, lattice, packing, pii, suffixes, toxicity, wavelet
+from costweave.llm import (
+    chat, decontam, jaccard, language, lattice, packing, pieces, pii, ranked, runs, suffixes, toxicity, wavelet,
+)
 from costweave.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +70,21 @@ def op10_wavelet_shards(spark, sf_dir):
     return wavelet.token_shards(spark, table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_tandem_runs(spark, sf_dir):
+    return runs.run_digests(runs.made_periodic(table(spark, sf_dir, "documents")))
+
+
+@query
+def op12_prefix_table(spark, sf_dir):
+    return pieces.piece_digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_no_random_access(spark, sf_dir):
+    return ranked.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
 ORACLES["op2_e8_lattice"] = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e, len(embedding) AS size FROM embeddings
@@ -109,3 +126,29 @@ l AS (
 SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.c) AS component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY d.doc_id
 """
+
+ORACLES["op13_no_random_access"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents
+), i AS (
+  SELECT row_number() OVER () AS j, item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM benchmark
+), q AS (SELECT j, t, count(*) AS times FROM (SELECT j, unnest(ts) AS t FROM i) GROUP BY ALL),
+c AS (SELECT count(*) FILTER (len(ts) > 0)::BIGINT AS big_n, sum(len(ts))::BIGINT AS l FROM d),
+p AS (SELECT k, t, count(*) AS tf FROM (SELECT k, unnest(ts) AS t FROM d) GROUP BY ALL),
+w AS (
+  SELECT t, floor(1000 * ln((2 * any_value(big_n) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, c GROUP BY t
+), s AS (
+  SELECT q.j, p.k, sum(q.times * w.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (25 + (75 * len(d.ts) * big_n) // l))))::BIGINT AS score
+  FROM q JOIN p USING (t) JOIN w USING (t) JOIN d USING (k), c GROUP BY q.j, p.k
+), r AS (
+  SELECT j, doc_id, score, row_number() OVER (PARTITION BY j ORDER BY score DESC, doc_id)::INTEGER AS rank
+  FROM s JOIN d USING (k) WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM r JOIN i USING (j) WHERE rank <= 10
+"""
