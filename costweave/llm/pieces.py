@@ -9,8 +9,10 @@ of the prefix before it. Walking back from the end gives the ids, in time linear
 from __future__ import annotations
 
 import re
+import sys
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,9 @@ from costweave.llm import textops
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-REMEMBERED = 500_000  # units, and pairs of pieces, that a worker process keeps
-REMEMBERED_LENGTH = 40  # longer units are not kept
+REMEMBERED = 1_000_000  # stretches, and pairs of pieces, that a worker process keeps: some 200 MB
+REMEMBERED_LENGTH = 40  # longer stretches are not kept
+TAILS = set(".,;:")
 
 
 def model_path(name: str = MODEL) -> str:
@@ -31,6 +34,22 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
+class _Remembered(dict):
+    """What a function gives for short keys, kept up to a bound; longer keys are worked out each time."""
+
+    def __init__(self, function):
+        super().__init__()
+        self._function = function
+
+    def __missing__(self, key: str) -> bytes:
+        found = self._function(key)
+        if len(key) <= REMEMBERED_LENGTH:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[key] = found
+        return found
+
+
 class PrefixTable:
     """Encoder and decoder of a BPE model with byte fallback and without user-defined pieces."""
 
@@ -50,12 +69,16 @@ class PrefixTable:
         self._automaton = ahocorasick.Automaton()
         for i, piece in self._piece.items():
             if self.merged(piece) == [piece]:  # others are never reached by merges
-                self._automaton.add_word(piece, i)
+                self._automaton.add_word(piece, (len(piece), i))
         self._automaton.make_automaton()
+        self._ids = {piece: i for i, piece in self._piece.items()}
         self._length = {i: len(piece) for i, piece in self._piece.items()}
         self._cut()
-        self._known: dict[str, bytes] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._units = _Remembered(self._unit_ids)
+        self._words = _Remembered(self._word_ids)  # units with one space mark, by what follows the mark
+        self._after: dict[int, dict[int, bool]] = {i: {} for i in self._piece}  # by left piece, then by right
+        self._at_start = dict.fromkeys(self._piece, True)  # before the first piece nothing stands
+        self._tested = 0
 
     def _cut(self) -> None:
         """Patterns of stretches that no merge leaves: a space mark opens a new one where no piece holds one after
@@ -63,8 +86,9 @@ class PrefixTable:
         alone = {piece for piece in self._piece.values() if len(piece) == 1}
         inside = any(re.search(f"[^{SPACE}]{SPACE}", piece) for piece in self._piece.values())
         mark, line = "" if inside else SPACE, "" if "\n" in alone else "\n"
+        self._marks_open = not inside
         words = f"{mark}+[^{mark}{line}]*|[^{mark}{line}]+" if mark else f"[^{line}]+" if line else ".+"
-        self._units = re.compile(f"{line}|{words}" if line else words, re.DOTALL)
+        self._unit = re.compile(f"{line}|{words}" if line else words, re.DOTALL)
         self._parts = re.compile(f"[{re.escape(''.join(sorted(alone)))}]+|.", re.DOTALL)
 
     def merged(self, text: str) -> list[str]:
@@ -82,55 +106,64 @@ class PrefixTable:
         return parts
 
     def _compatible(self, left: int, right: int) -> bool:
-        """Whether the two pieces side by side encode to themselves."""
-        if len(self._pairs) >= REMEMBERED:
-            self._pairs.clear()
-        a, b = self._piece[left], self._piece[right]
-        found = self._pairs[left, right] = self.merged(a + b) == [a, b]
+        """Whether the two pieces side by side encode to themselves; remembered for each left piece."""
+        found = self._after[left].get(right)
+        if found is None:
+            if self._tested >= REMEMBERED:
+                for known in self._after.values():
+                    known.clear()
+                self._tested = 0
+            a, b = self._piece[left], self._piece[right]
+            found = self._after[left][right] = self.merged(a + b) == [a, b]
+            self._tested += 1
         return found
 
-    def _unit_ids(self, unit: str) -> bytes:
-        ids = array("i")
-        for part in self._parts.findall(unit):
-            ids.extend(self._part_ids(part))
-        return ids.tobytes()
-
     def _part_ids(self, part: str) -> list[int]:
-        length, last = self._length, [-1] * (len(part) + 1)
-        pairs, compatible = self._pairs, self._compatible
-        for end, token in self._automaton.iter(part):
-            end += 1
-            if last[end] < 0:
-                start = end - length[token]
-                if start:
-                    left = last[start]
-                    found = pairs.get((left, token))
-                    if not (compatible(left, token) if found is None else found):
-                        continue
-                last[end] = token
+        """Ids of characters that all have pieces, or the bytes of one that has none."""
+        last, goes_on, after = [], [self._at_start], self._after  # of each prefix: last piece, tests of what may follow it
+        for end, (size, token) in self._automaton.iter(part):
+            if end == len(last):  # its last piece is still to be found
+                found = goes_on[end + 1 - size].get(token)
+                if found is None:
+                    found = size > end or self._compatible(last[end - size], token)
+                if found:
+                    last.append(token)
+                    goes_on.append(after[token])
         at = len(part)
-        if last[at] < 0:  # a character without a piece: its bytes
+        if not last:
             return [self._byte_ids[b] for b in part.encode()]
-        ids = []
+        ids, length = [], self._length
         while at:
-            ids.append(last[at])
-            at -= length[last[at]]
+            token = last[at - 1]
+            ids.append(token)
+            at -= length[token]
         ids.reverse()
         return ids
 
+    def _unit_ids(self, unit: str) -> bytes:
+        return array("i", chain.from_iterable(map(self._part_ids, self._parts.findall(unit)))).tobytes()
+
+    def _word_ids(self, word: str) -> bytes:
+        tail = word[-1:]
+        if tail in TAILS and tail in self._ids and word[-2:-1] not in TAILS and len(word) > 1:
+            # a prefix, mostly seen before, and one more piece that goes with its last
+            token, stem = self._ids[tail], self._words[word[:-1]]
+            left = int.from_bytes(stem[-4:], sys.byteorder)
+            if left not in self._piece or self._compatible(left, token):
+                return stem + array("i", [token]).tobytes()
+        first, *rest = self._unit.findall(SPACE + word)
+        return self._unit_ids(first) + b"".join([self._units[u] for u in rest])
+
     def encode(self, texts: list[str], end_id: int | None = None) -> list[bytes]:
         """Ids of every text as 32-bit integers, with end_id after them if it is given."""
-        if len(self._known) > REMEMBERED:
-            self._known.clear()
-        known, end = self._known, b"" if end_id is None else array("i", [end_id]).tobytes()
-        units = [self._units.findall(text) for text in self.library.normalize(texts)]
-        passing = {}
-        for unit in set().union(*units).difference(known):
-            (known if len(unit) <= REMEMBERED_LENGTH else passing)[unit] = self._unit_ids(unit)
-        if passing:
-            return [b"".join([known[u] if u in known else passing[u] for u in row]) + end for row in units]
-        find = known.__getitem__
-        return [b"".join(map(find, row)) + end for row in units]
+        end, found = b"" if end_id is None else array("i", [end_id]).tobytes(), []
+        for text in self.library.normalize(texts):
+            if self._marks_open and text[:1] == SPACE and SPACE * 2 not in text:
+                ids = b"".join(map(self._words.__getitem__, text[1:].split(SPACE)))
+            else:
+                ids = b"".join(map(self._units.__getitem__, self._unit.findall(text)))
+            found.append(ids + end)
+        return found
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.library.decode(ids) if ids else []
