@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 from array import array
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 
@@ -34,8 +34,8 @@ class WordEncoder:
 
     A byte-level BPE with the usual pattern never joins a text across a single space that stands between
     two other characters: the space opens the next piece. Texts are cut there, words seen before are
-    looked up, and the new ones go to the library together; texts with other spaces go there whole. Their ids are told apart by the bytes that
-    each id stands for. Special tokens' strings are ordinary text.
+    looked up, and the new ones go to the library together, where their ids are told apart by the bytes that
+    each id stands for. Texts with other spaces, and texts that hold the string of an added token, go there whole.
     """
 
     def __init__(self, path: str):
@@ -43,7 +43,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
-        self._library.encode_special_tokens = True
+        self._added = [t.content for t in self._library.get_added_tokens_decoder().values()]
         size = self._library.get_vocab_size(with_added_tokens=True)
         self._bytes_of = np.zeros(size, np.int64)
         for text, number in self._library.get_vocab(with_added_tokens=True).items():
@@ -58,11 +58,14 @@ class WordEncoder:
 
     def _learn(self, words: list[str]) -> None:
         known = self._after_space
-        # a comma or full stop after a letter is a piece of its own
-        ended = [w for w in words if w[-1:] in _ENDS and w[-2:-1].isalpha()]
-        plain = {w[:-1] for w in ended}
-        plain.update(w for w in words if not (w[-1:] in _ENDS and w[-2:-1].isalpha()))
-        plain = [w for w in plain if w not in known]
+        ended, stems = [], set()
+        for w in words:  # a comma or full stop after a letter is a piece of its own
+            if w[-1] in _ENDS and w[-2:-1].isalpha():
+                ended.append(w)
+                w = w[:-1]
+            if w not in known:
+                stems.add(w)
+        plain = list(stems)
         for low in range(0, len(plain), 4_000):
             part = plain[low : low + 4_000]
             text = " " + " ".join(part)
@@ -86,21 +89,27 @@ class WordEncoder:
             self._after_space.clear()
             self._first.clear()
         known, firsts = self._after_space, self._first
-        heads, rests = [], []
-        for text in texts:
+        heads, rests, new, starts, whole = [], [], set(), set(), {}
+        for k, text in enumerate(texts):
             head, space, rest = text.partition(" ")
+            words = rest.split(" ") if space else []
+            unknown = list(filterfalse(known.__contains__, words))
+            if head not in firsts:
+                unknown.append(head)
+            # a space beside other white space is no such gap
+            if any([not w or w[0] <= " " or w[-1] <= " " or w[0].isspace() or w[-1].isspace() for w in unknown if w or words]) or any(
+                map(text.__contains__, self._added)
+            ):
+                whole[k] = b""
+                head, words, unknown = "", [], []
             heads.append(head)
-            rests.append(rest.split(" ") if space else [])
-        new, starts = set().union(*rests).difference(known), set(heads).difference(firsts)
-        # a space beside other white space is no such gap: these texts go to the library whole
-        odd = {w for w in chain(new, starts) if not w or w[0].isspace() or w[-1].isspace()}
-        whole = {}
-        if odd:
-            numbers = [k for k, rest in enumerate(rests) if heads[k] in odd or not odd.isdisjoint(rest)]
-            whole = {k: array("I", ids).tobytes() for k, ids in zip(numbers, self._ids([texts[k] for k in numbers]))}
-            for k in numbers:
-                heads[k], rests[k] = "", []
-            new, starts = set().union(*rests).difference(known), set(heads).difference(firsts)
+            rests.append(words)
+            if head not in firsts:
+                starts.add(head)
+                unknown = unknown[:-1]
+            new.update(unknown)
+        for k, ids in zip(whole, self._ids([texts[k] for k in whole])):
+            whole[k] = array("I", ids).tobytes()
         if new:
             self._learn(list(new))
         opening = list(starts)

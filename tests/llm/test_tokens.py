@@ -11,7 +11,8 @@ from costweave.llm.tokens import WordEncoder, vocabulary_path
 
 TEXTS = [
     None, "", " ", "a", "  two  spaces ", "tab\t and\n\nlines \n x", "don't I'll 12 345 1,000", "é ü 漢字 😀  x \x1c y",
-    "<|endoftext|> is text", "word " * 3000, "x" * 5000, "a b", "a b", " lead", "trail ", "mixed\r\nend  \r\n",
+    "<|endoftext|> is a token", "a <|endoftext|> b", "<|endoftext|>", "at the end<|endoftext|>", "x<|endoftext|><|endoftext|>  y<|endoftext|> z",
+    "<|endoftext |> <|endoftext|",  "word " * 3000, "x" * 5000, "a b", "a b", " lead", "trail ", "mixed\r\nend  \r\n",
 ]
 
 
@@ -20,13 +21,12 @@ def library():
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(vocabulary_path())
-    found.encode_special_tokens = True
     return lambda text: found.encode(text or "", add_special_tokens=False).ids
 
 
 def test_word_encoder_equals_the_library(library):
     rng = random.Random(4)
-    texts = [t or "" for t in TEXTS] + ["".join(rng.choice("ab '\n\t.1é  ") for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    texts = [t or "" for t in TEXTS] + ["".join(rng.choice([*"ab '\n\t.1é  ", "<|endoftext|>"]) for _ in range(rng.randint(0, 60))) for _ in range(400)]
     for ids, text in zip(WordEncoder(vocabulary_path()).encode(texts), texts):
         assert np.frombuffer(ids, "<u4").tolist() == library(text), text
 
