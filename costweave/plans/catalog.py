@@ -593,6 +593,20 @@ def quantile_boost_binary(spark, sf):
     return rounded(boost.predict(rows, model).select("project_id", "pred_log"))
 
 
+@query
+def quantile_boost_two_features(spark, sf):
+    """Two models (rows of even project_id, and all) grown in the same jobs: two rounds on two features."""
+    band = F.floor(F.least(F.greatest("log_length", F.lit(3.0)), F.lit(5.0))).cast("double").alias("length_band")
+    rows = prepared(spark, sf).filter("log_length IS NOT NULL").select("project_id", "is_regional_rail", band, "log_cost")
+    both = rows.withColumn("model", F.explode(F.array(F.lit(0), F.lit(1)))).filter("model = 1 OR project_id % 2 = 0")
+    even, every = boost.fit_quantile_models(
+        both, "project_id", "model", 2, ["is_regional_rail", "length_band"],
+        trees=2, learning_rate=0.5, depth=1, subsample=1.0, min_leaf=1, held_rows=0,
+    )
+    scored = boost.predict(boost.predict(rows, even, "pred_even"), every, "pred_all")
+    return rounded(scored.select("project_id", "pred_even", "pred_all"))
+
+
 @query
 def state_round_trip(spark, sf):
     """A state saved, loaded and used for scoring."""
@@ -611,13 +625,12 @@ def _trained(spark, sf, fit) -> TrainingState:
     """Bands and reports are those of the model's own out-of-fold errors."""
     rows = reuse(prepared(spark, sf))
     medians = features.train_medians(features.training_rows(reuse(src.projects(spark, sf))))
-    report = training.train(rows, "project_id", fit)
-    return training.finalize(rows, medians, "project_id", fit, report.metrics, report.countries)
+    return training.train_and_finalize(rows, medians, "project_id", fit)[1]
 
 
 @query
 def quantile_boost_fit_score(spark, sf):
-    state = _trained(spark, sf, training.quantile_boost(trees=8))
+    state = _trained(spark, sf, training.quantile_boost())
     scored = scoring.score(src.requests(spark, sf), state)
     return rounded(scored.select("request_id", "pred_log", "pred", "lo", "hi", "total_budget_billions"))
 
@@ -632,11 +645,10 @@ def gbt_absolute_score(spark, sf):
 
 @query
 def oof_boosting_report(spark, sf):
-    fit = training.absolute_gbt(trees=8)
-    return rounded(training.train(prepared(spark, sf), "project_id", fit).metrics)
+    return rounded(training.train(prepared(spark, sf), "project_id", training.quantile_boost()).metrics)
 
 
 @query
 def tree_shap_drivers(spark, sf):
-    state = _trained(spark, sf, training.absolute_gbt(trees=8))
+    state = _trained(spark, sf, training.quantile_boost())
     return rounded(scoring.explain(src.requests(spark, sf), state))

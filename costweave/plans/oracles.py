@@ -503,6 +503,30 @@ ORACLES["quantile_boost_binary"] = f"""WITH {PROJECTS} {PREPARED},
 start AS (SELECT median(log_cost) AS f0 FROM prepared WHERE log_cost IS NOT NULL),
 own AS (SELECT is_regional_rail AS k, median(log_cost) AS m FROM prepared WHERE log_cost IS NOT NULL GROUP BY k)
     SELECT project_id, {r('m + (f0 - m) * 0.5 ^ 3', 'pred_log')} FROM prepared LEFT JOIN own ON k = is_regional_rail, start"""
+_SIDE = "CASE j WHEN 0 THEN a <= 0 WHEN 1 THEN b <= 3 WHEN 2 THEN b <= 4 ELSE true END"
+
+
+def _boost_round(i: int) -> str:
+    """d{i + 1}: the rows of d{i} after a tree of one split, the first of the best ones, and half its leaf medians."""
+    return f""",
+s{i} AS (
+  SELECT m, j, count(*) FILTER (l) AS nl, count(*) FILTER (NOT l) AS nr, sum(s) FILTER (l) AS sl, sum(s) FILTER (NOT l) AS sr
+  FROM (SELECT m, j, CASE WHEN y > f THEN 0.5 ELSE -0.5 END::DOUBLE AS s, {_SIDE} AS l FROM d{i}, range(3) x(j) WHERE y IS NOT NULL AND trains)
+  GROUP BY ALL),
+g{i} AS (
+  SELECT m, j FROM (SELECT m, j, round(nl * nr / (nl + nr) * (sl / nl - sr / nr) ^ 2, 9) AS gain FROM s{i} WHERE nl > 0 AND nr > 0)
+  WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY m ORDER BY gain DESC, j) = 1),
+d{i + 1} AS (
+  SELECT m, project_id, a, b, y, trains, f + 0.5 * median(CASE WHEN trains THEN y - f END) OVER (PARTITION BY m, {_SIDE}) AS f
+  FROM d{i} LEFT JOIN g{i} USING (m))"""
+
+
+ORACLES["quantile_boost_two_features"] = f"""WITH {PROJECTS} {PREPARED},
+d0 AS (
+  SELECT m, project_id, is_regional_rail AS a, floor(least(greatest(log_length, 3), 5)) AS b, log_cost AS y,
+         m = 1 OR project_id % 2 = 0 AS trains, median(CASE WHEN m = 1 OR project_id % 2 = 0 THEN log_cost END) OVER (PARTITION BY m) AS f
+  FROM prepared, range(2) x(m) WHERE log_length IS NOT NULL){_boost_round(0)}{_boost_round(1)}
+    SELECT project_id, {r('max(f) FILTER (m = 0)', 'pred_even')}, {r('max(f) FILTER (m = 1)', 'pred_all')} FROM d2 GROUP BY project_id"""
 ORACLES["state_round_trip"] = f"""SELECT f.request_id, {r(_HAND_SCORE, 'pred_log')}, {r(f'exp({_HAND_SCORE})', 'pred')},
            {r(f'exp({_HAND_SCORE}) * q.length_km / 1000', 'total_budget_billions')}
     FROM ({ORACLES["request_features"]}) f JOIN (WITH {REQUESTS} SELECT request_id, length_km FROM requests) q USING (request_id)"""

@@ -24,9 +24,17 @@ def absolute_gbt(**params) -> Fit:
     return lambda rows, id_col: boost.gbt_leaves(boost.fit_absolute_gbt(rows, **params))
 
 
-def quantile_boost(**params) -> Fit:
-    """Quantile boosting with exact leaf quantiles."""
-    return lambda rows, id_col: boost.fit_quantile_boost(rows, id_col, **params)
+class quantile_boost:
+    """Quantile boosting with exact leaf quantiles; a Fit that also grows many models in the same jobs."""
+
+    def __init__(self, **params):
+        self.params = params
+
+    def __call__(self, rows: DataFrame, id_col: str) -> boost.BoostedTrees:
+        return boost.fit_quantile_boost(rows, id_col, **self.params)
+
+    def fit_many(self, rows: DataFrame, id_col: str, model_col: str, models: int) -> list[boost.BoostedTrees]:
+        return boost.fit_quantile_models(rows, id_col, model_col, models, **self.params)
 
 
 def assign_folds(prepared: DataFrame, id_col: str, k: int = fv.FOLDS, bins: int = fv.COST_BINS, seed: int = fv.SEED) -> DataFrame:
@@ -62,19 +70,35 @@ def _model_input(rows: DataFrame, id_col: str) -> DataFrame:
     return reuse(rows.select(id_col, *fv.FEATURES, "log_cost"))
 
 
+def _fold_rows(folded: DataFrame, encoders: FoldEncoders, id_col: str, k: int) -> DataFrame:
+    """Training rows of all k fold models, told apart by _model: fold i's rows are not in model i."""
+    each = F.explode(F.array(*[F.lit(i) for i in range(k)]))
+    spread = folded.withColumn("_model", each).filter(F.col("fold") != F.col("_model"))
+    return encode_for_fold(spread, encoders, F.col("_model")).select("_model", id_col, *fv.FEATURES, "log_cost")
+
+
+def _out_of_fold(folded: DataFrame, encoders: FoldEncoders, models) -> DataFrame:
+    parts = [
+        boost.predict(encode_for_fold(folded.filter(F.col("fold") == i), encoders), model) for i, model in enumerate(models)
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def cross_validate(prepared: DataFrame, id_col: str, fit: Fit, k: int = fv.FOLDS) -> DataFrame:
     """Prepared rows with cost_bin, fold, encodings and the out-of-fold prediction pred_log.
 
-    Fold i's model sees encodings learned outside fold i, in training and in validation rows alike.
+    Fold i's model sees encodings learned outside fold i, in training and in validation rows alike. A learner
+    with `fit_many` gets the rows of all folds at once.
     """
     folded = reuse(assign_folds(prepared, id_col, k))
     encoders = fit_fold_encoders(folded, k)
-    parts = []
+    if hasattr(fit, "fit_many"):
+        return _out_of_fold(folded, encoders, fit.fit_many(_fold_rows(folded, encoders, id_col, k), id_col, "_model", k))
+    models = []
     for i in range(k):
         train = encode_for_fold(folded.filter(F.col("fold") != i), encoders, F.lit(i))
-        held_out = encode_for_fold(folded.filter(F.col("fold") == i), encoders)
-        parts.append(boost.predict(held_out, fit(_model_input(train, id_col), id_col)))
-    return reduce(DataFrame.unionByName, parts)
+        models.append(fit(_model_input(train, id_col), id_col))
+    return _out_of_fold(folded, encoders, models)
 
 
 @dataclass
@@ -87,7 +111,10 @@ class TrainingReport:
 
 def train(prepared: DataFrame, id_col: str, fit: Fit, k: int = fv.FOLDS) -> TrainingReport:
     """Cross-validate and report."""
-    predictions = reuse(cross_validate(prepared, id_col, fit, k))
+    return _report(reuse(cross_validate(prepared, id_col, fit, k)))
+
+
+def _report(predictions: DataFrame) -> TrainingReport:
     return TrainingReport(
         predictions, evaluate.compute_metrics(predictions),
         evaluate.metrics_by_fold(predictions), evaluate.country_report(predictions),
@@ -111,6 +138,22 @@ def finalize(
     return TrainingState(model, country, city, mean, medians, report, countries)
 
 
+def train_and_finalize(
+    prepared: DataFrame, medians: DataFrame, id_col: str, fit: Fit, k: int = fv.FOLDS
+) -> tuple[TrainingReport, TrainingState]:
+    """Cross-validation and the fit on everything; a learner with `fit_many` grows all k + 1 models together."""
+    if not hasattr(fit, "fit_many"):
+        report = train(prepared, id_col, fit, k)
+        return report, finalize(prepared, medians, id_col, fit, report.metrics, report.countries)
+    folded = reuse(assign_folds(prepared, id_col, k))
+    encoders = fit_fold_encoders(folded, k)
+    rows, country, city, mean = encode_all(prepared)
+    final = rows.select(F.lit(k).alias("_model"), id_col, *fv.FEATURES, "log_cost")
+    *models, model = fit.fit_many(_fold_rows(folded, encoders, id_col, k).unionByName(final), id_col, "_model", k + 1)
+    report = _report(reuse(_out_of_fold(folded, encoders, models)))
+    return report, TrainingState(model, country, city, mean, medians, report.metrics, report.countries)
+
+
 def load_and_prepare(spark, path: str, target: str = fv.TARGET) -> tuple[DataFrame, DataFrame]:
     """(prepared rows, training medians) of a stored clean table; rows get an id if they have none."""
     df = read_clean_projects(spark, path)
@@ -128,8 +171,7 @@ def run(spark, clean_path: str, out_folder: str, fit: Fit, id_col: str = "projec
     prepared, medians = load_and_prepare(spark, clean_path)
     if id_col not in prepared.columns:
         prepared = with_row_id(prepared, id_col)
-    report = train(prepared, id_col, fit)
-    state = finalize(prepared, medians, id_col, fit, report.metrics, report.countries)
+    report, state = train_and_finalize(prepared, medians, id_col, fit)
     save_state(state, out_folder, spark)
     report.predictions.select(id_col, "fold", "log_cost", "pred_log").write.mode("overwrite").parquet(
         f"{out_folder}/oof_predictions"
