@@ -151,6 +151,8 @@ def breakdown_interval(
         q10, q90 = F.lit(fv.DEFAULT_Q10), F.lit(fv.DEFAULT_Q90)
     else:
         one = bands.select(F.col("q10_multiplier").alias("_q10"), F.col("q90_multiplier").alias("_q90"))
+        if one.limit(2).count() > 1:
+            raise ValueError("bands for all rows must be one row")
         slim = slim.join(F.broadcast(one), F.lit(True), "left")
         q10 = F.coalesce("_q10", F.lit(fv.DEFAULT_Q10))
         q90 = F.coalesce("_q90", F.lit(fv.DEFAULT_Q90))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -619,6 +620,25 @@ def state_round_trip(spark, sf):
     return rounded(scored.select("request_id", "pred_log", "pred", "total_budget_billions"))
 
 
+@query
+def state_after_broken_save(spark, sf):
+    """A save that breaks half-way leaves the state before it, which then scores."""
+    _, country, city, mean = training.encode_all(prepared(spark, sf))
+    medians = features.train_medians(features.training_rows(reuse(src.projects(spark, sf))))
+    metrics = reuse(evaluate.compute_metrics(predictions(spark, sf)))
+    folder = f"{shared_folder(spark)}/states/{uuid.uuid4().hex}"
+    save_state(TrainingState(HAND_MODEL, country, city, mean, medians, metrics, metrics), folder, spark)
+    zero = country.withColumn("te", F.lit(0.0))
+    breaks = metrics.withColumn("r2_log", F.raise_error(F.lit("broken")).cast("double"))
+    try:
+        save_state(TrainingState(HAND_MODEL, zero, zero, mean, medians, breaks, breaks), folder, spark)
+    except PySparkException as error:
+        if "broken" not in str(error):
+            raise
+    scored = scoring.score(src.requests(spark, sf), load_state(spark, folder))
+    return rounded(scored.select("request_id", "pred_log", "pred", "total_budget_billions"))
+
+
 # ---- trained models (no SQL equivalent) --------------------------------------
 
 def _trained(spark, sf, fit) -> TrainingState:

@@ -531,6 +531,7 @@ ORACLES["state_round_trip"] = f"""SELECT f.request_id, {r(_HAND_SCORE, 'pred_log
            {r(f'exp({_HAND_SCORE}) * q.length_km / 1000', 'total_budget_billions')}
     FROM ({ORACLES["request_features"]}) f JOIN (WITH {REQUESTS} SELECT request_id, length_km FROM requests) q USING (request_id)"""
 
+ORACLES["state_after_broken_save"] = ORACLES["state_round_trip"]
 ORACLES["clean_projects_from_csv"] = ORACLES["clean_projects"]
 ORACLES["quality_row_drops_from_csv"] = ORACLES["quality_row_drops"]
 ORACLES["requested_variability"] = f"""WITH {REQUESTS}, known AS ({ORACLES["mode_variability"]})

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from costweave import fixed_values as fv
 from costweave.operators import boost, encode, evaluate, features, folds
 from costweave.session import reuse
-from costweave.sources.state import TrainingState, save_state
+from costweave.sources.state import TrainingState, load_tables, save_state
 from costweave.sources.tables import read_clean_projects
 
 # (training rows with features and log_cost, id column) -> fitted trees
@@ -172,13 +172,10 @@ def run(spark, clean_path: str, out_folder: str, fit: Fit, id_col: str = "projec
     if id_col not in prepared.columns:
         prepared = with_row_id(prepared, id_col)
     report, state = train_and_finalize(prepared, medians, id_col, fit)
-    save_state(state, out_folder, spark)
-    report.predictions.select(id_col, "fold", "log_cost", "pred_log").write.mode("overwrite").parquet(
-        f"{out_folder}/oof_predictions"
-    )
+    save_state(state, out_folder, spark, {"oof_predictions": report.predictions.select(id_col, "fold", "log_cost", "pred_log")})
     return state
 
 
 def read_oof_predictions(spark, out_folder: str) -> DataFrame:
     """(id, fold, log_cost, pred_log) of the last run."""
-    return spark.read.parquet(f"{out_folder}/oof_predictions")
+    return load_tables(spark, out_folder)["oof_predictions"]
