@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from costweave.llm import textops
-from costweave.llm.shared import components
+from costweave.llm.shared import components, discard
 from costweave.session import reuse
 
 GRAM_WORDS = 5
@@ -242,6 +242,7 @@ def class_links(sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
         .withColumn("bound", bound.cast("int")).where("bound > 0")
         .select("id", "n", F.col("own.gram").alias("grams"), F.expr("slice(own.gram, 1, bound)").alias("first"))
     )
+    discard(sets)  # one gram array a class is stored at a time
     buckets = work.select("id", F.explode("first").alias("gram"))
     least = buckets.groupBy("gram").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most")
     ties = buckets.join(least, "gram").select(F.col("id").alias("a"), F.col("least").alias("b"))
@@ -251,6 +252,7 @@ def class_links(sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
         "blocks", F.ceil(F.col("size") / BLOCK).cast("long")
     ).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     placed = reuse(placed.withColumns({"other": F.lit(-1).cast("long"), "part": F.lit(0)}))
+    discard(work)
     large = placed.where("blocks > 1")
     pivot = F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(F.floor(F.col("size") / PIVOTS), F.lit(1))) == 0
     pivots = large.where(pivot).withColumn("home", F.col("block")).withColumn(

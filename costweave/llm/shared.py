@@ -8,13 +8,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costweave.session import reuse
+from costweave.session import delete_folder, reuse
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def discard(stored: DataFrame) -> None:
+    """Delete a table that reuse() stored, once what is read in its place stands."""
+    for file in stored.inputFiles()[:1]:
+        delete_folder(stored.sparkSession, file.rsplit("/", 1)[0])
+
+
 def free_name(df: DataFrame, wish: str) -> str:
     """`wish`, lengthened until no column of df has that name."""
     taken = {c.lower() for c in df.columns}
