@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from costweave.llm import textops
-from costweave.llm.shared import components, discard
+from costweave.llm.shared import components, discard, free_name, maybe_in
 from costweave.session import reuse
 
 GRAM_WORDS = 5
@@ -294,8 +294,9 @@ def join_similar(docs: DataFrame, n: int = GRAM_WORDS, similarity: tuple[int, in
         "times < 0 or (times = 1 and beside and not seen)"
     ).groupBy("mark").agg(F.sum(F.abs("times")).alias("shares"))
     least = F.floor(F.ceil(F.col("n_shingles") * numerator / F.lit(denominator)) / EXTRA) + 1
-    heads = classes.join(shares, "mark").where(F.col("shares") >= least).select(F.col("head").alias("doc_id"), "mark").distinct()
-    whole = known.join(heads, "doc_id").select("mark", "text").mapInArrow(_whole_sets(n), "id long, n long, grams array<long>")
+    heads = reuse(classes.join(shares, "mark").where(F.col("shares") >= least).select(F.col("head").alias("doc_id"), "mark").distinct())
+    likely = maybe_in(known, "doc_id", heads, "likely").where("likely")  # the other texts need no shuffle
+    whole = likely.join(heads, "doc_id").select("mark", "text").mapInArrow(_whole_sets(n), "id long, n long, grams array<long>")
     # the classes of a document with several texts hang together
     own = sets.where("doc_id is not null and n_shingles > 0")
     several = own.groupBy("doc_id").agg(F.min("mark").alias("b"), F.max("mark").alias("most")).where("b <> most").drop("most")
@@ -314,5 +315,8 @@ def join_similar(docs: DataFrame, n: int = GRAM_WORDS, similarity: tuple[int, in
 
 def keep_first(docs: DataFrame, n: int = GRAM_WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """docs without the rows whose component has a smaller doc_id; rows without doc_id or grams stay."""
-    gone = join_similar(docs, n, similarity).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = reuse(join_similar(docs, n, similarity).where("doc_id <> component_id").select("doc_id").distinct())
+    likely = free_name(docs, "_likely")
+    marked = maybe_in(docs, "doc_id", gone, likely)
+    stay = marked.where(~F.col(likely))  # all but a few of those that stay need no shuffle
+    return stay.unionByName(marked.where(likely).join(gone, "doc_id", "left_anti")).select(*docs.columns)

@@ -21,6 +21,29 @@ def discard(stored: DataFrame) -> None:
         delete_folder(stored.sparkSession, file.rsplit("/", 1)[0])
 
 
+FILTER_BITS = 1 << 27  # of the bitmap of maybe_in: 16 MB, whatever the number of keys
+_SPOT = 8 * 4096  # bits of a row of the bitmap
+
+
+def maybe_in(rows: DataFrame, key: str, keys: DataFrame, flag: str) -> DataFrame:
+    """rows with a boolean `flag`, false only where `key` (a whole number or NULL) is not among keys.key.
+
+    The keys set bits of a bitmap of fixed size, which is broadcast. Too many keys only make the answer vague: true
+    for ever more rows that are not among them, never false for one that is. So it may save a shuffle of rows
+    before an exact join, but never stands for one.
+    """
+    bucket, bits = free_name(rows, "_bucket"), free_name(rows, "_bits")
+    at = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(FILTER_BITS))
+    bitmap = keys.where(F.col(key).isNotNull()).select(at.alias("at")).groupBy(
+        F.floor(F.col("at") / _SPOT).alias(bucket)
+    ).agg(F.bitmap_construct_agg(F.col("at") % _SPOT).alias(bits))
+    spot = at % _SPOT
+    byte = F.conv(F.hex(F.substr(F.col(bits), (F.floor(spot / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    held = F.floor(byte / F.pow(F.lit(2), spot % 8)) % 2 == 1
+    found = rows.withColumn(bucket, F.when(F.col(key).isNotNull(), F.floor(at / _SPOT))).join(F.broadcast(bitmap), bucket, "left")
+    return found.select(*rows.columns, F.coalesce(held, F.lit(False)).alias(flag))
+
+
 def free_name(df: DataFrame, wish: str) -> str:
     """`wish`, lengthened until no column of df has that name."""
     taken = {c.lower() for c in df.columns}

@@ -217,3 +217,17 @@ def test_vectors_match_brute_force(spark):
 
 def test_no_vectors(spark):
     assert lattice.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
+
+
+@pytest.mark.parametrize("bits", [1 << 27, 1 << 15])
+def test_bitmap_of_keys_never_misses_one(spark, monkeypatch, bits):
+    monkeypatch.setattr(shared, "FILTER_BITS", bits)
+    ids = [None, 0, -1, 2**62, *range(5, 4000, 3)]
+    rows = spark.createDataFrame([(k, 1, "x") for k in [*ids, *range(10_000, 14_000)]], "doc_id long, _bits int, _bucket string")
+    keys = spark.createDataFrame([(k,) for k in ids], "doc_id long")
+    found = shared.maybe_in(rows, "doc_id", keys, "likely")
+    assert found.columns == ["doc_id", "_bits", "_bucket", "likely"]
+    likely = [r["doc_id"] for r in found.collect() if r["likely"]]
+    assert set(ids) - {None} <= set(likely) and None not in likely
+    assert len(likely) < len(ids) + (40 if bits > 1 << 20 else 400)
+    assert not any(r["likely"] for r in shared.maybe_in(rows, "doc_id", keys.limit(0), "likely").collect())
