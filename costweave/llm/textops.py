@@ -139,3 +139,8 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     for k in range(1, n):
         out = mix(out * _U(_BASE) + words[k : len(words) - n + 1 + k])
     return out
+
+
+def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """What gram_hashes gives for neighbours, for any pairs of word hashes."""
+    return mix((first + _U(2)) * _U(_BASE) + second)

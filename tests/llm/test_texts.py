@@ -217,9 +217,37 @@ def test_edited_copies_are_found_like_by_full_alignment(spark, verbatim, monkeyp
     assert found == {pair: score for pair, score in wanted.items() if score >= 0.5} and len(found) >= 6 * 16
     data, offsets = textops.byte_column(pa.array(texts))
     block = decontam.ItemBlock(*zip(*items))
-    whole = block.matches(data, offsets, 0.5)
+    whole = block.matches(data, offsets)
     monkeypatch.setattr(decontam, "HITS", 50)
-    assert block.matches(data, offsets, 0.5) == whole and sum(map(len, whole)) == len(found)
+    assert block.matches(data, offsets) == whole and sum(map(len, whole)) == len(found)
+
+
+def edits(words, filler):
+    yield [x for k, w in enumerate(words) for x in ([w, filler()] if k % 2 else [w])]  # a word after every second
+    yield [x for w in words for x in (w, filler())]  # and after every word
+    for every in range(2, 7):
+        for first in range(every):
+            yield [filler() if k % every == first else w for k, w in enumerate(words)]
+            yield [w for k, w in enumerate(words) if k % every != first]
+    half = len(words) // 2
+    yield words[:half] + [filler() for _ in range(half)] + words[half:]
+    yield words[half:] + words[:half]
+
+
+@pytest.mark.parametrize("length", [4, 5, 6, 8, 11, 20, 40])
+def test_no_edited_copy_is_lost(length):
+    rng = random.Random(length)
+    vocabulary = 15 if length == 11 else 400  # words that repeat within items, too
+    items = [(k, " ".join(f"v{rng.randrange(vocabulary)}" for _ in range(length))) for k in range(3)]
+    items += [(k, "which of the following " + " ".join(f"u{rng.randrange(90)}" for _ in range(length))) for k in range(3, 60)]
+    filler = lambda: f"f{rng.randrange(300)}"
+    texts = [[filler() for _ in range(9)] + copy + [filler() for _ in range(9)] for _, t in items[:4] for copy in edits(t.split(), filler)]
+    texts += [["which", "of", "the", "following", filler()] * 5]
+    data, offsets = textops.byte_column(pa.array([" ".join(t) for t in texts]))
+    found = decontam.ItemBlock(*zip(*items)).matches(data, offsets)
+    for text, matches in zip(texts, found):
+        scores = {i: brute_alignment(t.split(), text) / (2 * len(t.split())) for i, t in items if 2 * len(set(t.split()) & set(text)) >= len(set(t.split()))}
+        assert {m["item_id"]: m["score"] for m in matches} == {i: s for i, s in scores.items() if s >= 0.5}
 
 
 def brute_states(model, values):
