@@ -45,11 +45,13 @@ def needed(n: int, numerator: int, denominator: int) -> int:
 
 def gram_sets(data: np.ndarray, offsets: np.ndarray, n: int):
     """The sorted distinct gram hashes of every row; a row of fewer than n words has one gram, an empty row none."""
-    words, row, _, _ = textops.word_hashes(data, offsets)
-    cuts = np.searchsorted(row, np.arange(len(offsets)))
-    for first, last in zip(cuts[:-1], cuts[1:]):
-        own = words[first:last]
-        yield np.unique(textops.gram_hashes(own, min(n, len(own)))) if len(own) else own
+    for low, high in textops.blocks(offsets):
+        part = offsets[low : high + 1]
+        words, row, _, _ = textops.word_hashes(data[part[0] : part[-1]], part - part[0])
+        cuts = np.searchsorted(row, np.arange(len(part)))
+        for first, last in zip(cuts[:-1], cuts[1:]):
+            own = words[first:last]
+            yield np.unique(textops.gram_hashes(own, min(n, len(own)))) if len(own) else own
 
 
 def _marks(grams: np.ndarray) -> tuple[int, int]:
@@ -123,16 +125,19 @@ def _whole_sets(n: int):
     def run(batches):
         for batch in batches:
             data, offsets = textops.byte_column(batch.column(1))
-            marks, sets = [], []
-            for mark, own in zip(batch.column(0).to_pylist(), gram_sets(data, offsets, n)):
-                if _marks(own)[0] == mark:  # else another text of the same doc_id
-                    marks.append(mark)
-                    sets.append(own.view(np.int64))
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-            ends = np.concatenate([[0], np.cumsum([len(g) for g in sets])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(marks, pa.int64()), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
-            ], names=["id", "n", "grams"])
+            for low, high in textops.blocks(offsets):
+                part = offsets[low : high + 1]
+                marks, sets = [], []
+                texts = gram_sets(data[part[0] : part[-1]], part - part[0], n)
+                for mark, own in zip(batch.column(0).slice(low, high - low).to_pylist(), texts):
+                    if _marks(own)[0] == mark:  # else another text of the same doc_id
+                        marks.append(mark)
+                        sets.append(own.view(np.int64))
+                flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+                ends = np.concatenate([[0], np.cumsum([len(g) for g in sets])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(marks, pa.int64()), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                ], names=["id", "n", "grams"])
 
     return run
 

@@ -21,7 +21,7 @@ def discard(stored: DataFrame) -> None:
         delete_folder(stored.sparkSession, file.rsplit("/", 1)[0])
 
 
-FILTER_BITS = 1 << 27  # of the bitmap of maybe_in: 16 MB, whatever the number of keys
+FILTER_BITS = 1 << 26  # of the bitmap of maybe_in: 8 MB, whatever the number of keys
 _SPOT = 8 * 4096  # bits of a row of the bitmap
 
 
