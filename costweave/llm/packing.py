@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from costweave.llm import textops
 from costweave.llm.shared import fit_in_task
-from costweave.llm.tokens import encoder_for, vocabulary_path
+from costweave.llm.tokens import REMEMBERED_WORDS, encoder_for, vocabulary_path
 from costweave.session import reuse
 
 CAPACITY = 2048
@@ -113,18 +113,20 @@ def solve(demand: np.ndarray, units: int, rounds: int = ROUNDS) -> list[tuple[np
     return out + first_fit(left, units)
 
 
-def pieces_of(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end_id: int = END_ID) -> DataFrame:
+def pieces_of(
+    docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end_id: int = END_ID, remembered: int = REMEMBERED_WORDS
+) -> DataFrame:
     """Pieces of every document (doc_id, text): row, doc_id, start, length, ids_crc32, doc_tokens.
 
     A document is its ids and the end id, cut every `capacity` ids, and once more so that what is left splits
     into a multiple of a quarter and less than a quarter: the small pieces fill sequences that the large ones
-    cannot. A NULL text is empty. No shuffle.
+    cannot. A NULL text is empty. No shuffle. `remembered` bounds the words a worker process keeps the ids of.
     """
     path, step = path or vocabulary_path(), capacity // 4
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = encoder_for(path), np.array([end_id], "<u4").tobytes()
+        encoder, end = encoder_for(path, remembered), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             _, offsets = textops.byte_column(batch.column(1))
             for first, last in textops.blocks(offsets):

@@ -13,14 +13,14 @@ REMEMBERED_WORDS = 1_000_000  # about 200 MB
 _ENDS = ",."
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder_for(path: str) -> WordEncoder:
+def encoder_for(path: str, remembered: int = REMEMBERED_WORDS) -> WordEncoder:
     """The encoder of a worker process: it serves its tasks one after the other, words seen before included."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    if (path, remembered) not in _encoders:
+        _encoders[path, remembered] = WordEncoder(path, remembered)
+    return _encoders[path, remembered]
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -38,7 +38,8 @@ class WordEncoder:
     each id stands for. Texts with other spaces, and texts that hold the string of an added token, go there whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED_WORDS):
+        self._remembered = remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -85,7 +86,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit integers."""
-        if len(self._after_space) > REMEMBERED_WORDS:
+        if len(self._after_space) > self._remembered:
             self._after_space.clear()
             self._first.clear()
         known, firsts = self._after_space, self._first
