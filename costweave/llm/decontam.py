@@ -14,7 +14,6 @@ Items are taken in blocks of bounded size, each block against all texts; texts a
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -27,6 +26,7 @@ LEAST_SCORE = 0.5
 BLOCK_WORDS = 1_000_000  # item words held by a task at once
 HITS = 2_000_000  # seeds on texts held by a task at once; one text is not cut
 MATCHES = "array<struct<item_id:long,score:double,first_word:long,last_word:long>>"
+MATCH_TYPE = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())]))
 
 OTHERS = np.ones(256, dtype=bool)
 OTHERS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
@@ -223,14 +223,14 @@ def matches_of(blocks: list[ItemBlock], text: str) -> Column:
     """array of (item_id, score, first_word, last_word) for a text column; empty for NULL texts."""
 
     def column(block):
-        @F.pandas_udf(MATCHES)
-        def find(texts: pd.Series) -> pd.Series:
-            data, offsets = textops.byte_column(pc.utf8_lower(pa.array(texts.to_numpy(), pa.large_string(), from_pandas=True)))
+        @F.arrow_udf(MATCHES)
+        def find(texts: pa.Array) -> pa.Array:
+            data, offsets = textops.byte_column(pc.utf8_lower(texts))
             out = []
             for first, last in textops.blocks(offsets):
                 part = offsets[first : last + 1]
                 out += block.matches(data[part[0] : part[-1]], part - part[0])
-            return pd.Series(out, dtype=object)
+            return pa.array(out, MATCH_TYPE)
 
         return find(text)
 

@@ -22,6 +22,7 @@ from costweave.llm.shared import fit_in_task
 
 WIDTH = 4096
 PER_LANGUAGE = 600
+PART_ROWS = 512  # rows measured at once: 16 MB of counts
 MOST_LANGUAGES = 200
 UNKNOWN = "und"
 #: families of related languages (fixed values); a language in none of them is its own family
@@ -65,6 +66,13 @@ def counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def _parts(offsets: np.ndarray):
+    """Ranges of rows whose texts and features are of bounded size, but for a single long text."""
+    for first, last in textops.blocks(offsets):
+        for low in range(first, last, PART_ROWS):
+            yield low, min(low + PART_ROWS, last)
+
+
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out = np.sqrt(counts(data, offsets)).astype(np.float32)
     length = np.sqrt((out * out).sum(axis=1, keepdims=True))
@@ -155,7 +163,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageMode
     def measure(batches):
         for batch in batches:
             data, offsets = textops.byte_column(batch.column(0))
-            for first, last in textops.blocks(offsets):
+            for first, last in _parts(offsets):
                 part = offsets[first : last + 1]
                 x = features(data[part[0] : part[-1]], part - part[0])
                 yield pa.RecordBatch.from_arrays([
@@ -169,20 +177,18 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageMode
 def language_of(model: LanguageModel | None, text: str | Column) -> Column:
     """struct(lang, score) of a text; `und` with score 0 if it is NULL, has no letter, or nothing was learned."""
 
-    @F.pandas_udf("lang string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("lang string, score double")
+    def predict(texts: pa.Array) -> pa.Array:
         langs, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-        known = np.array([has_letter(t) for t in texts], bool)
-        if model is not None and known.any():
-            where = np.flatnonzero(known)
-            column = pa.array(texts.to_numpy()[where], pa.large_string())
-            data, offsets = textops.byte_column(column)
-            for first, last in textops.blocks(offsets):
-                part = offsets[first : last + 1]
+        data, offsets = textops.byte_column(texts)
+        for first, last in _parts(offsets):  # as strings and as numbers only a part at a time
+            part = offsets[first : last + 1]
+            known = np.array([has_letter(t) for t in texts.slice(first, last - first).to_pylist()], bool)
+            if model is not None and known.any():
                 best, score = model.predict(features(data[part[0] : part[-1]], part - part[0]))
-                langs[where[first:last]] = np.array(model.languages, object)[best]
-                scores[where[first:last]] = score
-        return pd.DataFrame({"lang": langs, "score": scores})
+                langs[first:last] = np.where(known, np.array(model.languages, object)[best], UNKNOWN)
+                scores[first:last] = np.where(known, score, 0.0)
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"])
 
     return predict(text)
 
