@@ -45,7 +45,7 @@ def needed(n: int, numerator: int, denominator: int) -> int:
 
 def gram_sets(data: np.ndarray, offsets: np.ndarray, n: int):
     """The sorted distinct gram hashes of every row; a row of fewer than n words has one gram, an empty row none."""
-    for low, high in textops.blocks(offsets):
+    for low, high in textops.blocks(offsets, textops.BLOCK_BYTES):
         part = offsets[low : high + 1]
         words, row, _, _ = textops.word_hashes(data[part[0] : part[-1]], part - part[0])
         cuts = np.searchsorted(row, np.arange(len(part)))
@@ -125,7 +125,7 @@ def _whole_sets(n: int):
     def run(batches):
         for batch in batches:
             data, offsets = textops.byte_column(batch.column(1))
-            for low, high in textops.blocks(offsets):
+            for low, high in textops.blocks(offsets, textops.BLOCK_BYTES):
                 part = offsets[low : high + 1]
                 marks, sets = [], []
                 texts = gram_sets(data[part[0] : part[-1]], part - part[0], n)

@@ -69,7 +69,7 @@ def sampled(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
 def sampled_rows(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
     """`sampled` of many rows block by block, positions within the row; long rows in overlapping parts."""
     found, reach = [], length - gram
-    for first, last in textops.blocks(offsets):
+    for first, last in textops.blocks(offsets, textops.BLOCK_BYTES):
         low, high = int(offsets[first]), int(offsets[last])
         if high - low <= 2 * textops.BLOCK_BYTES:
             got = sampled(data[low:high], offsets[first : last + 1] - low, length, gram)

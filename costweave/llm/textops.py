@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20  # bytes hashed at once: bounds the temporaries of a task
+BLOCK_BYTES = 1 << 18  # bytes hashed at once: bounds the temporaries of a task
+PART_BYTES = 1 << 20  # texts taken at once
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _LETTERS = np.random.default_rng(20240601).integers(0, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -82,7 +83,7 @@ def byte_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks(offsets: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+def blocks(offsets: np.ndarray, most: int = PART_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about `most` bytes; a longer row stands alone."""
     first, rows = 0, len(offsets) - 1
     while first < rows:
@@ -113,7 +114,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = B
 def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = BLANKS, fold: np.ndarray = LOWER):
     """(hash, row, start, end) of every word of the rows, in order. Long rows are hashed in parts cut at separators."""
     found = []
-    for first, last in blocks(offsets):
+    for first, last in blocks(offsets, BLOCK_BYTES):
         low, high = int(offsets[first]), int(offsets[last])
         while low < high:
             cut = high
