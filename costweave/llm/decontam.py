@@ -225,6 +225,7 @@ def matches_of(blocks: list[ItemBlock], text: str) -> Column:
     def column(block):
         @F.arrow_udf(MATCHES)
         def find(texts: pa.Array) -> pa.Array:
+            textops.release()
             data, offsets = textops.byte_column(pc.utf8_lower(texts))
             out = []
             for first, last in textops.blocks(offsets):

@@ -69,6 +69,7 @@ def _sets(n: int):
             rows = [(len(g), *_marks(g)) for g in gram_sets(data, offsets, n)]
             columns = list(zip(*rows)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in columns)], names=names)
+            textops.release()
 
     return run
 
@@ -100,6 +101,7 @@ def _first_grams(n: int, numerator: int, denominator: int):
     def run(batches):
         marks, grams, size = {}, [], 0
         for batch in batches:
+            textops.release()
             data, offsets = textops.byte_column(batch.column(0))
             for own, length in zip(gram_sets(data, offsets, n), np.diff(offsets)):
                 if not len(own):
@@ -115,6 +117,7 @@ def _first_grams(n: int, numerator: int, denominator: int):
                     marks, grams, size = {}, [], 0
         if grams:
             yield flush(list(marks), grams)
+        textops.release()
 
     return run
 
@@ -138,6 +141,7 @@ def _whole_sets(n: int):
                 yield pa.RecordBatch.from_arrays([
                     pa.array(marks, pa.int64()), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                 ], names=["id", "n", "grams"])
+            textops.release()
 
     return run
 
@@ -213,6 +217,7 @@ def _multiply(numerator: int, denominator: int):
     def run(batches):
         held, last = [], None
         for batch in batches:
+            textops.release()
             out = []
             keys = zip(*(batch.column(k).to_pylist() for k in range(3)))
             parts, ids, sizes = (batch.column(k).to_pylist() for k in (3, 4, 5))
@@ -225,6 +230,8 @@ def _multiply(numerator: int, denominator: int):
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["a", "b"])
         if out := links(held):
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["a", "b"])
+        del held, out
+        textops.release()
 
     return run
 

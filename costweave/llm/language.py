@@ -179,6 +179,7 @@ def language_of(model: LanguageModel | None, text: str | Column) -> Column:
 
     @F.arrow_udf("lang string, score double")
     def predict(texts: pa.Array) -> pa.Array:
+        textops.release()
         langs, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
         data, offsets = textops.byte_column(texts)
         for first, last in _parts(offsets):  # as strings and as numbers only a part at a time

@@ -128,6 +128,7 @@ def pieces_of(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = encoder_for(path, remembered), np.array([end_id], "<u4").tobytes()
         for batch in batches:
+            textops.release()
             _, offsets = textops.byte_column(batch.column(1))
             for first, last in textops.blocks(offsets):
                 rows = []

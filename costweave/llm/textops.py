@@ -20,6 +20,11 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
+def release() -> None:
+    """Give back what Arrow keeps of batches that are done: a worker lives on through the next stages."""
+    pa.default_memory_pool().release_unused()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(31))) * _U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> _U(29))) * _U(0x94D049BB133111EB)
