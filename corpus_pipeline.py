@@ -44,7 +44,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents' ids, each with its sequence and offset."""
-    return packing.pack_documents(docs, remembered=300_000)  # some 50 MB a worker, which has served the other stages, too
+    return packing.pack_documents(docs, remembered=100_000)  # some 20 MB a worker, which has served the other stages, too
 
 
 STAGES = [
