@@ -21,7 +21,7 @@ from costweave.operators.quantiles import exact_quantiles
 from costweave.session import reuse, shared_folder
 from costweave.plans import scoring, training
 from costweave.sources import stand_ins as src
-from costweave.sources import tables
+from costweave.sources import quarantine, tables
 from costweave.sources.state import TrainingState, load_state, save_state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,6 +132,31 @@ def quality_row_drops_from_csv(spark, sf):
     return cleanse.row_drop_report(cleanse.rename_known_columns(raw))
 
 
+@query
+def raw_records_checked(spark, sf):
+    """Raw lines of every project, some too short, too long or with an open quote: good rows and quarantine together."""
+    raw = src.raw_projects(spark, sf)
+    key = F.col("Project id")
+    cells = {c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("N/A")) for c in raw.columns}
+    cells["City"] = F.concat(F.lit('"'), cells["City"], F.lit(', ""old"""'))
+    line = F.concat_ws(",", *cells.values())
+    line = F.when(key % 17 == 0, F.concat(cells["Project id"], F.lit(",cut"))).when(
+        key % 19 == 0, F.concat(line, F.lit(",more"))
+    ).when(key % 23 == 0, F.concat(line, F.lit(',"open'))).otherwise(line)
+    folder = f"{shared_folder(spark)}/raw/{uuid.uuid4().hex}"
+    raw.select(line.alias(",".join(raw.columns))).write.option("header", True).option("sep", "\u0001").option(
+        "quote", "\u0000"
+    ).csv(folder)
+    good, bad = quarantine.read_checked(spark, folder)
+    return good.select(
+        F.col("Project id").cast("bigint").alias("project_id"), F.col("City").alias("city"),
+        F.col("Country").alias("country"), F.lit(None).cast("int").alias("n_cells"), F.lit(None).cast("string").alias("reason"),
+    ).unionByName(bad.select(
+        F.substring_index("record", ",", 1).cast("bigint").alias("project_id"), F.lit(None).cast("string").alias("city"),
+        F.lit(None).cast("string").alias("country"), "n_cells", "reason",
+    ))
+
+
 @query
 def quality_row_drops(spark, sf):
     return cleanse.row_drop_report(cleanse.rename_known_columns(src.raw_projects(spark, sf)))

@@ -548,3 +548,9 @@ ORACLES["request_summary_text"] = f"""WITH {REQUESTS}, names AS ({NAMES})
 ORACLES["driver_report_text"] = f"""SELECT project_id, position, factor,
     CASE WHEN signed_percent >= 0 THEN '+' ELSE '' END || {fixed('signed_percent', 1)} || '%' AS percent_text, direction
     FROM ({ORACLES["driver_report_linear"].replace(r('signed_percent', 'signed_percent'), 'signed_percent')})"""
+ORACLES["raw_records_checked"] = f"""WITH {RAW_PROJECTS},
+checked AS (SELECT *, CASE WHEN project_id % 17 = 0 THEN 'too few cells' WHEN project_id % 19 = 0 THEN 'too many cells'
+                    WHEN project_id % 23 = 0 THEN 'open quote' END AS reason FROM raw_projects)
+SELECT project_id, CASE WHEN reason IS NULL THEN coalesce(city, 'N/A') || ', "old"' END AS city,
+       CASE WHEN reason IS NULL THEN country END AS country,
+       CASE reason WHEN 'too few cells' THEN 2 WHEN 'too many cells' THEN 14 END::INTEGER AS n_cells, reason FROM checked"""

@@ -33,7 +33,7 @@ def text_schema(columns: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-def _found(read, path: str) -> DataFrame:
+def found(read, path: str) -> DataFrame:
     try:
         return read()
     except AnalysisException as error:
@@ -55,20 +55,22 @@ def positional_names(headers: Sequence[str | None]) -> list[str]:
 
 
 def read_raw(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, missing_words: Sequence[str] = MISSING_WORDS
+    spark: SparkSession, path: str, schema: T.StructType | None = None, missing_words: Sequence[str] = MISSING_WORDS,
+    line_breaks: bool = False,
 ) -> DataFrame:
     """A raw table: Parquet, or CSV with a header whose cells all stay text.
 
     CSV columns are bound by position, so a header may repeat; cells that are one of missing_words are NULL.
-    A given CSV schema saves the look at the header.
+    A given CSV schema saves the look at the header. line_breaks: quoted cells may hold line breaks; each file is
+    then read by one task.
     """
     if path.rstrip("/").endswith(".parquet"):
-        return nan_to_null_everywhere(_found(lambda: spark.read.parquet(path), path))
-    reader = spark.read.option("multiLine", False).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+        return nan_to_null_everywhere(found(lambda: spark.read.parquet(path), path))
+    reader = spark.read.option("multiLine", line_breaks).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
     if schema is None:
-        head = _found(lambda: reader.option("header", False).csv(path), path).first()
+        head = found(lambda: reader.option("header", False).csv(path), path).first()
         schema = text_schema(positional_names(head) if head else [])
-    rows = _found(lambda: reader.option("header", True).schema(schema).option("enforceSchema", True).csv(path), path)
+    rows = found(lambda: reader.option("header", True).schema(schema).option("enforceSchema", True).csv(path), path)
     words = list(missing_words)
     quoted = [F.col("`" + f.name.replace("`", "``") + "`") for f in schema]
     return rows.select(*[
@@ -95,15 +97,15 @@ def read_clean(spark: SparkSession, path: str, schema: T.StructType | None = Non
     if path.rstrip("/").endswith(".csv"):
         reader = spark.read.option("header", True).option("escape", '"')
         if schema is None:
-            return nan_to_null_everywhere(_found(lambda: reader.option("inferSchema", True).csv(path), path))
-        text = _found(lambda: reader.csv(path), path)
+            return nan_to_null_everywhere(found(lambda: reader.option("inferSchema", True).csv(path), path))
+        text = found(lambda: reader.csv(path), path)
         # by name, so a file with fewer or reordered columns is read right
         typed = [
             num.parse_number(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
             for f in schema if f.name in text.columns
         ]
         return text.select(*typed)
-    return nan_to_null_everywhere(_found(lambda: spark.read.parquet(path), path))
+    return nan_to_null_everywhere(found(lambda: spark.read.parquet(path), path))
 
 
 def read_clean_projects(spark: SparkSession, path: str) -> DataFrame:
