@@ -182,3 +182,9 @@ def test_folds_keep_null_strata_apart(spark):
 def test_broadcast_bound_counts_array_elements(spark):
     wide = spark.range(10).select("id", F.array_repeat(F.lit(1), 300_000).alias("a"))
     assert not lookup.fits_broadcast(wide) and lookup.fits_broadcast(wide.select("id"))
+
+
+def test_wide_tables_are_measured_for_a_broadcast(spark):
+    plain = spark.range(3).select("id", *[F.lit(1.0).alias(f"c{i}") for i in range(150)])
+    assert lookup.fits_broadcast(plain)
+    assert plain.agg(F.sum(lookup._cells(plain.schema)).alias("n")).first()["n"] == 3 * 151
