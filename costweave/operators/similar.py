@@ -194,39 +194,40 @@ def _reach(x: Column, low: Column, high: Column) -> Column:
 
 
 def _descend(queries: DataFrame, index: _Index, n: int, w: SimilarityWeights, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
-    """(_q, ..., grp, node, bound): the blocks that may hold one of the n best projects of a query.
+    """(_n, asked, ..., grp, node, bound): the blocks that may hold one of the n best projects of query _n.
 
-    Without broadcast each level's frontier is stored by the lookup, so the plan of a level stands on one table.
+    `asked` is the query's name of a closer group: the city in the country's group, the country in the world's. A
+    frontier row drops the children that its own node rules out before they are spread over rows, so the shuffle
+    by query sees few of them. Without broadcast each level's frontier is stored by the lookup, so the plan of a
+    level stands on one table.
     """
     base = F.element_at(F.array(*[F.lit(b) for b in w.by_tier]), F.col("tier") + 1)
+    asked = F.when(F.col("_g.tier") == 1, F.col("q_city")).when(F.col("_g.tier") == 2, F.col("q_country"))
     frontier = queries.withColumn("_g", F.explode(_groups(F.col("q_country"), F.col("q_city")))).select(
-        "_q", "q_country", "q_city", "q_length", "q_tunnel", "u", "v", "_g.*",
+        "_n", asked.alias("asked"), "q_length", "q_tunnel", "_g.*",
         F.lit(0).cast("bigint").alias("node"), F.lit(-1.0).alias("bound"),
     )
-    all_of_query = Window.partitionBy("_q")
+    all_of_query = Window.partitionBy("_n")
     keep = frontier.columns
+    score = lambda away, c: (
+        F.col("_base") + 1 / (1 + away(F.col("u"), c["u0"], c["u1"])) + 1 / (1 + away(F.col("v"), c["v0"], c["v1"]))
+    )
+    sure = lambda c: F.when(c["n"] >= n, score(_reach, c))
+    near = lambda c: score(_distance, c) >= F.col("bound") - SLACK
     small = fits_broadcast(index.nodes, broadcast_nodes)
     for level in range(index.height, 0, -1):
         nodes = index.nodes.filter(F.col("level") == level).drop("level")
         on = ["grp", "node"]
         joined = frontier.join(F.broadcast(nodes), on) if small else salted_attach(frontier, nodes, on, "inner")
-        children = joined.withColumn("_c", F.explode("children"))
-        nearest = (
-            base + 1 / (1 + _distance(F.col("u"), F.col("_c.u0"), F.col("_c.u1")))
-            + 1 / (1 + _distance(F.col("v"), F.col("_c.v0"), F.col("_c.v1")))
-        )
-        farthest = (
-            base + 1 / (1 + _reach(F.col("u"), F.col("_c.u0"), F.col("_c.u1")))
-            + 1 / (1 + _reach(F.col("v"), F.col("_c.v0"), F.col("_c.v1")))
-        )
-        scored = children.select(
-            *[c for c in keep if c not in ("node", "bound")], F.col("_c.node").alias("node"), "bound",
-            nearest.alias("_best"), F.when(F.col("_c.n") >= n, farthest).alias("_sure"),
-        )
-        bounded = scored.withColumn(
-            "bound", F.greatest("bound", F.max("_sure").over(all_of_query))
+        scored = joined.withColumns({
+            "u": F.ln(F.col("q_length") + w.length_clamp) * w.length_scale, "v": F.col("q_tunnel") * w.tunnel_scale, "_base": base,
+        })
+        bounded = scored.withColumn("bound", F.greatest("bound", F.array_max(F.transform("children", sure))))
+        children = bounded.withColumn("_c", F.explode(F.filter("children", near))).select(
+            *[c for c in keep if c != "node"], F.col("_c.node").alias("node"), score(_distance, F.col("_c")).alias("_best"),
         )
-        frontier = bounded.filter(F.col("_best") >= F.col("bound") - SLACK).select(*keep)
+        best_bound = children.withColumn("bound", F.max("bound").over(all_of_query))
+        frontier = best_bound.filter(F.col("_best") >= F.col("bound") - SLACK).select(*keep)
     return frontier
 
 
@@ -256,31 +257,32 @@ def similar_projects(
         "_q", F.concat(text("q_country"), text("q_city"), text("length_km"), text("tunnel_pct"))
     ).withColumnsRenamed({"length_km": "q_length", "tunnel_pct": "q_tunnel"})
     keyed = reuse(keyed)  # asked twice: for the queries, and for their answers
-    queries = keyed.drop(id_col).distinct()
+    # a number for each query: it is what the search shuffles
+    queries = reuse(keyed.drop(id_col).distinct().withColumn("_n", F.monotonically_increasing_id()))
 
     # a block bounds the n-th best score only if it holds n projects
     index = _build_index(projects, project_id, n, weights, max(block_points, 2 * n), fan_out)
     reached = reuse(_descend(queries, index, n, weights, broadcast_nodes))
     candidates = attach(reached, index.blocks, ["grp", "node"], "inner", broadcast_rows=broadcast_blocks)
     candidates = candidates.withColumn("_p", F.explode("points")).select(
-        "_q", "tier", "bound", "q_country", "q_city", "q_length", "q_tunnel", "_p.*"
+        "_n", "tier", "bound", "asked", "q_length", "q_tunnel", "_p.*"
     )
     # a project is taken from the closest group it shares with the request, and only from that one
-    asked_name = F.when(F.col("tier") == 1, F.col("q_city")).when(F.col("tier") == 2, F.col("q_country"))
-    in_closer_group = F.coalesce(F.col("name") == asked_name, F.lit(False))
+    in_closer_group = F.coalesce(F.col("name") == F.col("asked"), F.lit(False))
     candidates = candidates.filter(~in_closer_group).withColumn("score", similarity_score(
         weights, F.col("tier") == 0, F.col("tier") <= 1,
         F.col("length_km"), F.col("q_length"), F.col("tunnel_pct"), F.col("q_tunnel"),
     )).filter(F.col("score") >= F.col("bound") - SLACK).withColumn("same_place", F.col("tier") == 0)
 
-    best = Window.partitionBy("_q").orderBy(F.desc("score"), F.col("pid"))
+    best = Window.partitionBy("_n").orderBy(F.desc("score"), F.col("pid"))
     top = (
-        candidates.select("_q", "pid", "score", "same_place")
+        candidates.select("_n", "pid", "score", "same_place")
         .withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n)
     )
-    answers = reuse(top.groupBy("_q").agg(
+    answers = reuse(top.groupBy("_n").agg(
         F.collect_list(F.struct("rank", F.col("pid").alias(project_id), "score", "same_place")).alias("_answer")
     ))
+    answers = reuse(attach(queries.select("_q", "_n"), answers, ["_n"], "inner").select("_q", "_answer"))
     found = attach(keyed.select(id_col, "_q"), answers, ["_q"], "inner").select(
         id_col, F.explode("_answer").alias("_a")
     ).select(id_col, "_a.*", num.match_percent(F.col("_a.score"), weights.max_score).alias("match_percent"))
