@@ -242,12 +242,18 @@ def _product(rows: DataFrame, numerator: int, denominator: int) -> DataFrame:
     return reuse(dealt.mapInArrow(_multiply(numerator, denominator), "a long, b long"))
 
 
+def shared_cells(sets: DataFrame) -> DataFrame:
+    """Rows (id, gram, times) of the grams that several rows of sets (id, grams) have."""
+    # counted where the join needs them: with the same filter and columns on both sides they read one shuffle
+    cells = sets.select("id", F.explode("grams").alias("gram")).where("id is not null and gram is not null").repartition("gram")
+    often = cells.groupBy("gram").agg(F.count("*").alias("times"), F.max("id").alias("some"))
+    return cells.join(often.where("times > 1 and some is not null").drop("some"), "gram")
+
+
 def class_links(sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """Links (a, b) that connect what is linked among sets (id, n, grams): step 3 and 4."""
     sets = reuse(sets)
-    cells = sets.select("id", F.explode("grams").alias("gram"))
-    often = cells.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1")
-    shared = cells.join(often, "gram").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("times", "gram"))).alias("own"))
+    shared = shared_cells(sets).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("times", "gram"))).alias("own"))
     bound = F.col("n") - F.ceil(F.col("n") * numerator / F.lit(denominator)) + 1 - (F.col("n") - F.size("own"))
     work = reuse(
         sets.select("id", "n").dropDuplicates(["id"]).join(shared, "id")  # one row an id

@@ -3,11 +3,14 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from costweave.llm import jaccard, lattice, shared, suffixes, textops
+from costweave.session import reuse
 
 DOCS = "doc_id long, text string, n_bytes string, component_id int"  # extra columns with names of the results
 
@@ -231,3 +234,26 @@ def test_bitmap_of_keys_never_misses_one(spark, monkeypatch, bits):
     assert set(ids) - {None} <= set(likely) and None not in likely
     assert len(likely) < len(ids) + (40 if bits > 1 << 20 else 400)
     assert not any(r["likely"] for r in shared.maybe_in(rows, "doc_id", keys.limit(0), "likely").collect())
+
+
+def test_counting_grams_and_joining_the_counts_read_one_shuffle(spark):
+    sets = reuse(spark.createDataFrame([(1, 3, [5, 6, 7]), (2, 3, [6, 7, 8]), (3, 1, [9])], "id long, n long, grams array<long>"))
+    shared = jaccard.shared_cells(sets).groupBy("id").agg(F.sort_array(F.collect_list("gram")).alias("own"), F.max("times").alias("times"))
+    found = sets.select("id", "n").join(shared, "id")
+    assert sorted(map(tuple, found.collect())) == [(1, 3, [6, 7], 2), (2, 3, [6, 7], 2)]
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for name in (files.apply(k).getName() for k in range(files.size())) if name.startswith("shuffle_")}
+
+    before = shuffles()
+    stored = reuse(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):  # executors delete them in the background
+        if not shuffles() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert stored.count() == 7
