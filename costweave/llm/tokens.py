@@ -10,6 +10,7 @@ import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
 REMEMBERED_WORDS = 1_000_000  # about 200 MB
+LEARNED_WORDS = 250  # words the library gets at once; more of them leave the processor's cache
 _ENDS = ",."
 
 
@@ -67,8 +68,8 @@ class WordEncoder:
             if w not in known:
                 stems.add(w)
         plain = list(stems)
-        for low in range(0, len(plain), 4_000):
-            part = plain[low : low + 4_000]
+        for low in range(0, len(plain), LEARNED_WORDS):
+            part = plain[low : low + LEARNED_WORDS]
             text = " " + " ".join(part)
             ids = np.fromiter(chain.from_iterable(self._ids([text])), np.uint32)
             ends = np.cumsum(self._bytes_of[ids])

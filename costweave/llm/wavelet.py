@@ -53,7 +53,7 @@ class WaveletMatrix:
             plane = np.zeros(room, np.uint8)
             packed = np.packbits(ones, bitorder="little")
             plane[: len(packed)] = packed
-            low, high = now[~ones], now[ones]
+            low, high = now.take(np.flatnonzero(~ones)), now.take(np.flatnonzero(ones))  # bits without order: no branch on them
             planes.append(plane)
             zeros.append(len(low))
             now = np.concatenate([low, high])
@@ -121,9 +121,9 @@ class WaveletMatrix:
         now = np.zeros(self.size, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for bit, level in enumerate(reversed(range(len(self.planes)))):
             ones = np.unpackbits(self.planes[level], bitorder="little", count=self.size).view(bool)
+            now[self.zeros[level] :] |= np.array(1 << bit, now.dtype)
             above = np.empty_like(now)
-            above[~ones] = now[: self.zeros[level]]
-            above[ones] = now[self.zeros[level] :] | np.array(1 << bit, now.dtype)
+            above[np.flatnonzero(~ones)], above[np.flatnonzero(ones)] = now[: self.zeros[level]], now[self.zeros[level] :]
             now = above
         return now.astype(np.uint32)
 

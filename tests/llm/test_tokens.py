@@ -111,3 +111,29 @@ def test_knapsack_against_all_patterns():
     best = packing.best_pattern(prices, 7)
     every = [(a * 0.1 + b * 0.35 + c * 0.5) for a in range(8) for b in range(4) for c in range(3) if a + 2 * b + 3 * c <= 7]
     assert (best * np.arange(8)).sum() <= 7 and abs(best @ prices - max(every)) < 1e-9
+
+
+def test_the_library_learns_few_words_at_once(monkeypatch):
+    encoder = tokens.WordEncoder(tokens.vocabulary_path())
+    asked, ids = [], encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda texts: asked.extend(texts) or ids(texts))
+    text = "a " + " ".join(f"w{k}x" for k in range(1_000))
+    found = encoder.encode([text])
+    assert np.frombuffer(found[0], np.uint32).tolist() == ids([text])[0]
+    assert max(t.count(" ") for t in asked) <= tokens.LEARNED_WORDS
+
+
+def test_stages_of_the_pipeline_get_small_batches_and_settings_come_back(spark, monkeypatch, tmp_path):
+    import corpus_pipeline
+
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(key)
+
+    def stage(spark, docs, sf_dir):
+        seen.append(spark.conf.get(key))
+        return docs
+
+    spark.range(3).withColumnRenamed("id", "doc_id").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("as it is", stage)])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 3
+    assert seen == [str(corpus_pipeline.BATCH_ROWS)] and spark.conf.get(key) == before
