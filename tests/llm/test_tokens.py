@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from costweave.llm import packing, wavelet
+from costweave.llm import packing, tokens, wavelet
 from costweave.llm.tokens import WordEncoder, vocabulary_path
 
 TEXTS = [
