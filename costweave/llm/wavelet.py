@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from costweave.llm import textops
-from costweave.llm.tokens import encoder_for, vocabulary_path
+from costweave.llm.tokens import ENCODED_BYTES, encoder_for, vocabulary_path
 from costweave.session import reuse, shared_folder
 
 MAGIC = b"WVM1"
@@ -207,8 +207,8 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, shard_id
 
         for batch in batches:
             _, offsets = textops.byte_column(batch.column(1))
-            for first, last in textops.blocks(offsets):
-                texts = [t or "" for t in batch.column(1).slice(first, last - first).to_pylist()]
+            for first, last in textops.blocks(offsets, ENCODED_BYTES):
+                texts = batch.column(1).slice(first, last - first)
                 for doc_id, ids in zip(batch.column(0).slice(first, last - first).to_pylist(), encoder.encode(texts)):
                     doc_ids.append(doc_id)
                     lengths.append(len(ids) // 4 + 1)

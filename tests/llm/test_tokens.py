@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from costweave.llm import packing, tokens, wavelet
@@ -137,3 +138,28 @@ def test_stages_of_the_pipeline_get_small_batches_and_settings_come_back(spark,
     monkeypatch.setattr(corpus_pipeline, "STAGES", [("as it is", stage)])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 3
     assert seen == [str(corpus_pipeline.BATCH_ROWS)] and spark.conf.get(key) == before
+
+
+def test_words_of_the_last_call_are_remembered_whatever_was_before(library, monkeypatch):
+    encoder = tokens.WordEncoder(vocabulary_path(), remembered=50)
+    first, second = ("a " + " ".join(f"w{k}x{end}" for k in numbers) for numbers, end in ((range(40), ""), (range(100, 130), "y,")))
+    for text in (first, second):
+        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == library(text)
+    asked, ids = [], encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda texts: asked.extend(texts) or ids(texts))
+    assert np.frombuffer(encoder.encode([second, second])[1], "<u4").tolist() == library(second)
+    assert asked == []
+    many = "a " + " ".join(f"v{k}" for k in range(90))  # more than are remembered
+    for text in (many, second, many):
+        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == library(text)
+
+
+def test_word_encoder_takes_arrow_columns(library):
+    rng = random.Random(5)
+    texts = [None, *TEXTS, *("".join(rng.choice("ab,. é  \x1c,.  ") for _ in range(rng.randint(0, 40))) for _ in range(300)), None]
+    column = pa.array(["before", *texts, "behind"]).slice(1, len(texts))
+    encoder = WordEncoder(vocabulary_path())
+    for _ in range(2):  # the second time from what is remembered
+        for ids, text in zip(encoder.encode(column), texts, strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == library(text), text
+    assert encoder.encode(column.slice(0, 0)) == []
