@@ -74,9 +74,11 @@ def _parts(offsets: np.ndarray):
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    out = np.sqrt(counts(data, offsets)).astype(np.float32)
+    out = counts(data, offsets)
+    out = np.sqrt(out, out=out).astype(np.float32)
     length = np.sqrt((out * out).sum(axis=1, keepdims=True))
-    return out / np.where(length == 0, 1, length)
+    out /= np.where(length == 0, 1, length)
+    return out
 
 
 def fit_svm(x: np.ndarray, positive: np.ndarray, penalty: float = 1e-4, steps: int = 150) -> np.ndarray:
@@ -189,6 +191,7 @@ def language_of(model: LanguageModel | None, text: str | Column) -> Column:
                 best, score = model.predict(features(data[part[0] : part[-1]], part - part[0]))
                 langs[first:last] = np.where(known, np.array(model.languages, object)[best], UNKNOWN)
                 scores[first:last] = np.where(known, score, 0.0)
+        textops.release()
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"])
 
     return predict(text)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from costweave.llm import textops
 from costweave.llm.shared import fit_in_task
-from costweave.llm.tokens import REMEMBERED_WORDS, encoder_for, vocabulary_path
+from costweave.llm.tokens import ENCODED_BYTES, REMEMBERED_WORDS, encoder_for, vocabulary_path
 from costweave.session import reuse
 
 CAPACITY = 2048
@@ -130,9 +130,8 @@ def pieces_of(
         for batch in batches:
             textops.release()
             _, offsets = textops.byte_column(batch.column(1))
-            for first, last in textops.blocks(offsets):
-                rows = []
-                texts = [t or "" for t in batch.column(1).slice(first, last - first).to_pylist()]
+            for first, last in textops.blocks(offsets, ENCODED_BYTES):
+                rows, texts = [], batch.column(1).slice(first, last - first)
                 for doc_id, ids in zip(batch.column(0).slice(first, last - first).to_pylist(), encoder.encode(texts)):
                     ids += end
                     total = len(ids) // 4
@@ -142,6 +141,7 @@ def pieces_of(
                     for start, stop in zip(cuts, cuts[1:]):
                         rows.append((doc_id, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop]), total))
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=names)
+        textops.release()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, ", ".join(f"{n} long" for n in names))
 
@@ -179,7 +179,10 @@ def pack(pieces: DataFrame, keys: list[str], capacity: int = CAPACITY, grain: in
     own = Window.partitionBy("_class", "_bucket").orderBy(*keys, "length")
     ranked = spread.withColumn("_rank", F.row_number().over(own) - 1).join(sizes, ["_class", "_bucket"])
     ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_before"))
-    plan = spark.createDataFrame(slots, "_size int, _low long, _high long, _each long, _base long")
+    types = {"_size": pa.int32(), "_low": pa.int64(), "_high": pa.int64(), "_each": pa.int64(), "_base": pa.int64()}
+    columns = list(zip(*slots)) or [()] * len(types)
+    # as an Arrow table: rows of a Python list would start a second set of Python processes on every executor
+    plan = spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(columns, types.values())], names=list(types)))
     placed = ranked.join(
         F.broadcast(plan),  # at most classes squared rows, whatever the number of pieces
         (F.col("_class") == F.col("_size")) & (F.col("_rank") >= F.col("_low")) & (F.col("_rank") < F.col("_high")),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,9 +21,14 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+
+
 def release() -> None:
-    """Give back what Arrow keeps of batches that are done: a worker lives on through the next stages."""
+    """Give back what Arrow and the C library keep of batches that are done: a worker lives on through the next stages."""
     pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -163,3 +163,34 @@ def test_word_encoder_takes_arrow_columns(library):
         for ids, text in zip(encoder.encode(column), texts, strict=True):
             assert np.frombuffer(ids, "<u4").tolist() == library(text), text
     assert encoder.encode(column.slice(0, 0)) == []
+
+
+def test_the_plan_of_sequences_starts_no_python_processes(spark, monkeypatch):
+    made, create = [], type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **k: made.append(type(data)) or create(self, data, *a, **k))
+    pieces = spark.range(200).selectExpr("id AS doc_id", "id % 60 + 1 AS length")
+    assert packing.pack(pieces, ["doc_id"], capacity=64).count() == 200
+    assert made == [pa.Table]
+
+
+def test_release_gives_back_what_the_c_library_keeps(monkeypatch):
+    from costweave.llm import textops
+
+    trimmed = []
+    monkeypatch.setattr(textops, "_trim", trimmed.append)
+    textops.release()
+    assert trimmed == [0]
+
+
+def test_a_stage_alone_bounds_the_batches_of_rows_that_its_caller_writes(spark):
+    import corpus_pipeline
+    from costweave.session import setting
+
+    sizes = []
+    docs = spark.createDataFrame([(1, "a text", "en"), (2, None, "en")], "doc_id long, text string, lang string")
+    for before, wanted in ((10_000, corpus_pipeline.BATCH_ROWS), (0, corpus_pipeline.BATCH_ROWS), (100, 100)):
+        with setting(spark, corpus_pipeline.BATCH_KEY, before):
+            found = corpus_pipeline.identify_language(spark, docs, "")
+            sizes.append((int(spark.conf.get(corpus_pipeline.BATCH_KEY)), wanted))
+            assert [r["doc_id"] for r in found.collect()] == [1]
+    assert all(is_now == wanted for is_now, wanted in sizes)
