@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from costweave.operators import encode, evaluate, folds, lookup
+from costweave.operators import encode, evaluate, folds, lookup, quantiles
 from costweave.operators.quantiles import exact_quantiles
 
 
@@ -34,6 +34,21 @@ def test_narrowed_quantiles_equal_direct_ones(spark, tmp_path, by, accuracy):
             assert b[alias] == pytest.approx(a[alias], rel=1e-12)
 
 
+@pytest.mark.parametrize("accuracy", [20, 1000])
+def test_many_quantiles_are_searched_not_tried_one_by_one(spark, tmp_path, monkeypatch, accuracy):
+    path = str(tmp_path / "t")
+    skewed_values(spark, 6000).withColumn("z", F.when(F.col("y") < 0, F.col("y"))).write.parquet(path)
+    df = spark.read.parquet(path)
+    wanted = {f"{c}{i}": (c, i / 40) for c in ("x", "y", "z") for i in range(41)}
+    direct = exact_quantiles(df, [], wanted).first().asDict()
+    looked_up, attach = [], quantiles.attach
+    monkeypatch.setattr(quantiles, "attach", lambda rows, *a, **b: looked_up.append(rows.columns) or attach(rows, *a, **b))
+    narrowed = exact_quantiles(df, [], wanted, direct_rows=100, accuracy=accuracy).first().asDict()
+    assert ["_g", "_c", "_v"] not in looked_up  # before: every value met every bracket of its column
+    assert {k: v is None for k, v in narrowed.items()} == {k: k[0] == "z" for k in wanted}
+    assert all(narrowed[k] == pytest.approx(direct[k], rel=1e-12) for k in wanted if k[0] != "z")
+
+
 def test_salted_lookup_equals_broadcast_lookup(spark):
     fact = spark.range(5000).select(
         "id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.lit(None))
