@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from costweave.operators import similar
+from costweave import fixed_values as fv
+from costweave.operators import boost, similar
 from costweave.plans import catalog
 from costweave.sources import stand_ins
 
@@ -54,3 +55,15 @@ def test_the_search_shuffles_no_texts_of_a_query(spark, tables, monkeypatch):
     found = similar.similar_projects(stand_ins.requests(spark, tables, projects), projects)
     assert found.count() == 8 * 30
     assert not {"_q", "q_country", "q_city"} & set(reached[0].columns)
+
+
+def test_the_absolute_gbt_query_grows_all_trees(spark, tables, monkeypatch):
+    asked, fit = [], boost.GBTRegressor.fit
+
+    def fit_two(self, df):
+        asked.append(self.getMaxIter())
+        return fit(self.setMaxIter(2), df)
+
+    monkeypatch.setattr(boost.GBTRegressor, "fit", fit_two)
+    assert catalog.QUERIES["gbt_absolute_score"](spark, tables).count() > 0
+    assert asked == [fv.TREES]
